@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan
+from . import bpe, chat, exact_dedup, license_scan, packing, simhash
 from .common import table
 
 
+def vocabulary() -> str:
+    """The path of the tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -27,6 +38,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,6 +53,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
@@ -55,8 +75,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op9_license_scan": op9_license_scan,
 }
 SQL = {"op5_exact_dedup": OP5_SQL}
