@@ -131,15 +131,15 @@ def read_back(formatted: Column, template: Template = DEFAULT) -> Column:
     marks = F.regexp_extract_all(formatted, F.lit(f"(?s){pattern}"), F.lit(0))
     bodies = F.split(formatted, f"(?s){pattern}", -1)
 
-    def turn(k: Column) -> Column:
-        mark = F.get(marks, k)
+    def turn(z: Column) -> Column:
+        mark = z["mark"]
         name = None
         for role, v in template.roles.items():
             name = F.when(mark == v.before, F.lit(role)) if name is None else name.when(mark == v.before, F.lit(role))
         name = name.otherwise(unescape(F.substring(mark, F.lit(len(first) + 1), F.char_length(mark) - len(first) - len(middle))))
-        return F.struct(name.alias("role"), unescape(F.get(bodies, k + 1)).alias("text"))
+        return F.struct(name.alias("role"), unescape(z["body"]).alias("text"))
 
-    # opening and closing marks alternate
-    return F.when(F.size(marks) < 2, F.array().cast("array<struct<role:string,text:string>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(marks) - 2, F.lit(2)), turn)
-    )
+    # opening and closing marks alternate; the body after an opening one is a turn's text
+    after = F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0)))
+    pairs = F.zip_with(marks, after, lambda m, b: F.struct(m.alias("mark"), b.alias("body")))
+    return F.transform(F.filter(pairs, lambda z, k: k % 2 == 0), turn)
