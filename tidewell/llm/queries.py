@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, packing, simhash, topk, toxicity
+from . import bpe, chat, exact_dedup, license_scan, lm, packing, simhash, topk, toxicity
 from .common import id_fold, table
 
 
@@ -81,6 +81,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
@@ -105,6 +109,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_lm": op8_lm,
     "op9_license_scan": op9_license_scan,
 }
 SQL = {"op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
