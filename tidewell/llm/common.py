@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a side may have to be sent to all executors.
+MOST_BROADCAST = 300_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for a broadcast if a count shows that it has at most ``most`` rows; otherwise as it is, for a
+    join by shuffle. ``df`` should be cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder, not yet made, where driver and executors can both read and write."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, lm, packing, simhash, topk, toxicity
+from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, topk, toxicity
 from .common import id_fold, table
 
 
@@ -101,6 +101,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+        "removed",
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
@@ -111,5 +122,6 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_lm": op8_lm,
     "op9_license_scan": op9_license_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL = {"op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
