@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 #: Cuts text into words. Fixed value of the byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN)
+#: Marks that often end a piece; each is one byte and so has an id.
+MARKS = ",.;:!?"
 #: A space after which the text can't simply be cut.
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -234,11 +236,17 @@ class Lexicon:
 class _Pieces(dict):
     """Ids of pieces of text that begin with a space, as bytes."""
 
-    def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+    def __init__(self, encoder: Encoder, most: int):
+        self.encoder, self.most = encoder, most
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
+        word = piece[:-1]
+        if piece.isalpha():  # one word of letters
+            ids = self.encoder.encode_word(" " + piece)
+        elif word.isalpha() and piece[-1] in MARKS:  # and a mark, which is a word of its own
+            ids = self[word] + self.encoder.marks[piece[-1]]
+        else:
+            ids = self.encoder.encode_run(" " + piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -249,9 +257,10 @@ class _Pieces(dict):
 class Encoder:
     """Encodes and decodes whole texts. ``cache`` bounds the pieces that are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, cache: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, cache: int = 1_000_000):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.pieces = _Pieces(self.encode_run, cache)
+        self.pieces = _Pieces(self, cache)
+        self.marks = {m: struct.pack("<I", vocabulary.of_byte[ord(m)]) for m in MARKS}
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.token_bytes = vocabulary.bytes_of | {i: t.encode() for t, i in vocabulary.special.items()}
 
@@ -289,7 +298,7 @@ class Encoder:
 class TiktokenEncoder(Encoder):
     """The same ids; words that aren't in the cache are merged by the ``tiktoken`` library."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 1_000_000):
         super().__init__(vocabulary, None, cache)
         import tiktoken
 
@@ -301,6 +310,8 @@ class TiktokenEncoder(Encoder):
         ids = self.core.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    encode_word = encode_run
+
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
