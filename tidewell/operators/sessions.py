@@ -12,7 +12,8 @@ def fixes(records: DataFrame) -> DataFrame:
     """``records`` (``session, seq, kind, program``) with ``fixed`` (a success right after a failure of its program) and
     ``island`` (how many fixes of the program came before)."""
     w = Window.partitionBy("session", "program").orderBy("seq")
-    marked = records.withColumn("__last", F.lag("kind").over(w))
+    outcome = F.when(F.col("kind").isin("failed", "ok"), F.col("kind"))  # other records don't come between
+    marked = records.withColumn("__last", F.last(outcome, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     fixed = (F.col("kind") == "ok") & F.coalesce(F.col("__last") == "failed", F.lit(False))
     before = F.sum(F.col("fixed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return marked.withColumn("fixed", fixed).withColumn("island", F.coalesce(before, F.lit(0)).cast("long")).drop("__last")

@@ -540,7 +540,7 @@ def threshold_pick(spark, sf_dir):
 
 SESSIONS = """r AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ok' WHEN 'view' THEN 'injected' WHEN 'click' THEN 'nohit' ELSE 'remember' END AS kind,
   'p' || CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS program, CAST(floor(value) AS BIGINT) % 17 AS id FROM events WHERE value IS NOT NULL)"""
-FIXES = """f AS (SELECT *, kind = 'ok' AND coalesce(lag(kind) OVER (PARTITION BY session, program ORDER BY seq) = 'failed', false) AS fixed FROM r),
+FIXES = """f AS (SELECT *, kind = 'ok' AND coalesce(last_value(CASE WHEN kind IN ('failed', 'ok') THEN kind END IGNORE NULLS) OVER (PARTITION BY session, program ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'failed', false) AS fixed FROM r),
   i AS (SELECT *, CAST(coalesce(sum(CAST(fixed AS INTEGER)) OVER (PARTITION BY session, program ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS island FROM f)"""
 
 
