@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.config import STOP_WORDS
 from tidewell.functions import text, versions
-from tidewell.operators import conditions, evaluation, leaks, search, sessions, similarity, triage, usage
+from tidewell.operators import conditions, evaluation, leaks, review, search, sessions, similarity, triage, usage
 from tidewell.plans.lineage import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,3 +691,55 @@ def lint_findings(spark, sf_dir):
         )
     )
     return docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.rule", "f.severity")
+
+
+# --- review --------------------------------------------------------------------------------------------------------
+
+TODAY = "2026-06-30"
+KEPT = """k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'stale' WHEN c_custkey % 13 = 0 THEN 'archived' ELSE 'active' END AS status,
+  strftime(DATE '2026-06-30' - CAST(c_custkey * 3 % 500 AS INTEGER), '%Y-%m-%d') AS verified, CASE WHEN c_custkey % 20 = 0 THEN '2026-06-01' WHEN c_custkey % 21 = 0 THEN '2026-07-01' END AS expires FROM customer)"""
+
+
+def _kept(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "CASE WHEN c_custkey % 9 = 0 THEN 'stale' WHEN c_custkey % 13 = 0 THEN 'archived' ELSE 'active' END AS status",
+        "date_format(date_sub(DATE '2026-06-30', CAST(c_custkey * 3 % 500 AS INT)), 'yyyy-MM-dd') AS verified",
+        "CASE WHEN c_custkey % 20 = 0 THEN '2026-06-01' WHEN c_custkey % 21 = 0 THEN '2026-07-01' END AS expires",
+    )
+
+
+@query(
+    "review_reasons",
+    f"""WITH {USAGE}, {COUNTS.format('u')}, {KEPT}, j AS (SELECT k.id, status, verified, expires, date_diff('day', CAST(verified AS DATE), DATE '{TODAY}') AS age, coalesce(worked, 0) AS worked, coalesce(failed, 0) AS failed,
+      coalesce(injected, 0) AS injected, coalesce(inferred, 0) AS inferred, coalesce(irrelevant, 0) AS irrelevant, last_failed, last_any FROM k LEFT JOIN c ON c.id = k.id WHERE status IN ('active', 'stale')),
+    r AS (SELECT id, concat_ws('; ', CASE WHEN expires <= '{TODAY}' THEN 'expired' END, CASE WHEN status = 'stale' AND age > 90 THEN 'long stale' END,
+      CASE WHEN failed >= 2 AND last_failed > verified THEN 'failed since verified' END, CASE WHEN injected >= 5 AND worked = 0 AND inferred = 0 THEN 'never helped' END,
+      CASE WHEN irrelevant >= 3 AND irrelevant >= worked + 0.5 * inferred THEN 'often irrelevant' END, CASE WHEN age > 180 AND last_any IS NULL THEN 'unused' END) AS reasons FROM j)
+    SELECT * FROM r WHERE reasons <> ''""",
+)
+def review_reasons(spark, sf_dir):
+    found = review.reasons(_kept(spark, sf_dir), usage.counts(usage_records(spark, sf_dir)), TODAY)
+    return found.select("id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    "verified_records",
+    f"""WITH {KEPT}, p AS (SELECT o_custkey AS id, bool_and(o_orderstatus <> 'P') AS passed FROM orders GROUP BY o_custkey)
+    SELECT k.id, CASE WHEN NOT passed THEN 'stale' WHEN passed AND status = 'stale' THEN 'active' ELSE status END AS status,
+    CASE WHEN passed AND (status = 'stale' OR date_diff('day', CAST(verified AS DATE), DATE '{TODAY}') > 30) THEN '{TODAY}' ELSE verified END AS verified FROM k LEFT JOIN p ON p.id = k.id""",
+)
+def verified_records(spark, sf_dir):
+    results = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.bool_and(F.col("o_orderstatus") != "P").alias("passed"))
+    kept = _kept(spark, sf_dir).withColumn("stale_reason", F.lit(None).cast("string"))
+    return review.verify(kept, results, TODAY).select("id", "status", "verified")
+
+
+@query(
+    "held_back",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) + 1 AS dst FROM orders WHERE o_orderkey % 4 = 0),
+    h(id) AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0 UNION SELECT e.src FROM e JOIN h ON e.dst = h.id) SELECT id FROM h""",
+)
+def held_back(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").count()
+    links = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % n + 1).alias("dst"))
+    return review.held_back(links, table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id")))
