@@ -74,6 +74,27 @@ def pair_hashes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return high | (_mixed(history * np.uint64(0x9E3779B97F4A7C15) + word) >> np.uint64(32))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: what sorted or small numbers share stands together,
+    so that the shuffle's compression finds it."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as 16, 32 or 64 bits each, as the largest needs; the first byte tells."""
+    kind = next(k for k in (np.uint16, np.uint32, np.uint64) if int(counts.max(initial=0)) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + planes(counts.astype(kind))
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], {2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]).astype(np.int64)
+
+
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
@@ -129,10 +150,10 @@ def _count_chunk(ranges: int):
                     r,
                     int(frame["chunk"].iloc[0]),
                     b" ".join([c.words[k] for k in mine]),
-                    counts[mine].tobytes(),
-                    p[once].tobytes(),
-                    p[~once].tobytes(),
-                    m[~once].astype(np.uint32).tobytes(),
+                    planes(counts[mine]),
+                    planes(p[once]),
+                    planes(p[~once]),
+                    planes(m[~once].astype(np.uint32)),
                 )
             )
         return pd.DataFrame(out, columns=["range", "chunk", "words", "counts", "once", "more", "n"])
@@ -190,15 +211,15 @@ def _merge_range(s: Settings):
         total: Counter = Counter()
         blocks = []
         for words, counts in zip(frame["words"], frame["counts"]):
-            names, n = words.split(b" ") if words else [], np.frombuffer(counts, np.uint32)
+            names, n = words.split(b" ") if words else [], from_planes(counts, np.uint32)
             blocks.append(names)
             for w, k in zip(names, n.tolist()):
                 if k:
                     total[w] += k
         known = total.get
-        back = [np.fromiter((known(w, 0) for w in names), np.int64, len(names)).tobytes() for names in blocks]
-        once = np.frombuffer(b"".join(frame["once"]), np.uint64)
-        more, n = np.frombuffer(b"".join(frame["more"]), np.uint64), np.frombuffer(b"".join(frame["n"]), np.uint32)
+        back = [_narrow(np.fromiter((known(w, 0) for w in names), np.uint64, len(names))) for names in blocks]
+        joined = lambda name, kind: np.concatenate([from_planes(x, kind) for x in frame[name]])
+        once, more, n = joined("once", np.uint64), joined("more", np.uint64), joined("n", np.uint32)
         pairs, at = np.unique(np.concatenate([once, more]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([np.ones(len(once)), n.astype(float)]), len(pairs)) if len(pairs) else np.zeros(0)
         # a history's tokens, under a hash that no pair has
@@ -231,7 +252,7 @@ def _score_chunk(ranges: int, n_tokens: int, n_types: int, shipped, first: bool,
         word_range = _range_of(c.hashes, ranges)
         order = np.argsort(word_range, kind="stable")
         counts = np.zeros(len(c.words), np.int64)
-        counts[order] = np.frombuffer(b"".join(back.sort_values("range")["back"]), np.int64)
+        counts[order] = np.concatenate([_widened(x) for x in back.sort_values("range")["back"]])
         own = (counts + 1) / (n_tokens + n_types + 1)
         log_own = np.log10(own)
         mine = (word_range[c.before] >= low) & (word_range[c.before] < high)
