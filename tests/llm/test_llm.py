@@ -297,8 +297,8 @@ def test_bit_parallel_distance(spark, errors):
         a, b = sorted(("".join(a), "".join(b)), key=len, reverse=True)
         if len(a) - len(b) <= errors < len(b):
             pairs.append((a, b))
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
-    for r in df.select("a", "b", line_dedup.within("x", "y", errors).alias("w")).collect():
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), errors).alias("w")).collect():
         assert r.w == (_distance(r.a, r.b) <= errors), r
 
 

@@ -30,39 +30,33 @@ from .components import connected_components
 LETTERS = "etaonihs"
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment; the later segments are the longer ones."""
-    short, long_ones = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    first_long = F.lit(parts) - long_ones
-    start = short * number + F.greatest(F.lit(number) - first_long, F.lit(0))
-    return start, short + (F.lit(number) >= first_long).cast("int")
-
-
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), F.substring(line, start + 1, size))
+def lookups(errors: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift) of a line's own index entries (the first ``errors + 1``) and then of what it looks for:
+    segment ``number`` of a line that is ``less`` characters shorter, moved by ``shift``."""
+    own = [(0, i, 0) for i in range(errors + 1)]
+    seek = []
+    for less in range(errors + 1):
+        for i in range(errors + 1):
+            low, high = max(-i, less - (errors - i)), min(i, less + (errors - i))
+            # of lines of equal length the other one looks for the shifts to the left
+            seek += [(less, i, shift) for shift in range(low, high + 1) if less or shift > 0]
+    return own + seek
 
 
-def index_keys(line: Column, length: Column, errors: int) -> list[Column]:
-    out = []
-    for i in range(errors + 1):
-        start, size = _segment(length, i, errors + 1)
-        out.append(_key(line, length, i, start, size))
-    return out
+def keys(line: Column, length: Column, errors: int) -> Column:
+    """The keys of ``lookups``, null where a segment would lie outside. Later segments are the longer ones."""
+    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("number"), F.lit(d).alias("shift")) for a, i, d in lookups(errors)])
+    parts = errors + 1
 
+    def key(x: Column) -> Column:
+        shorter = length - x["less"]
+        short, first_long = F.floor(shorter / parts).cast("int"), parts - shorter % parts
+        start = short * x["number"] + F.greatest(x["number"] - first_long, F.lit(0)) + x["shift"]
+        size = short + F.when(x["number"] >= first_long, 1).otherwise(0)
+        found = F.xxhash64(shorter, x["number"], F.substring(line, start + 1, size))
+        return F.when((start >= 0) & (start + size <= length), found)
 
-def probe_keys(line: Column, length: Column, errors: int) -> list[Column]:
-    """Keys of other lines' index entries that this line must look for, beside its own index keys."""
-    out = []
-    for less in range(errors + 1):
-        shorter = length - less
-        for i in range(errors + 1):
-            start, size = _segment(shorter, i, errors + 1)
-            low, high = max(-i, less - (errors - i)), min(i, less + (errors - i))
-            for shift in range(low, high + 1):
-                if less or shift > 0:  # of equal lengths, the other line looks for the shifts to the left
-                    inside = (start + shift >= 0) & (start + shift + size <= length)
-                    out.append(F.when(inside, _key(line, shorter, i, start + shift, size)))
-    return out
+    return F.transform(listed, key)
 
 
 def signature(line: Column) -> Column:
@@ -84,12 +78,18 @@ def may_match(a: Column, b: Column, errors: int) -> Column:
     return reduce(lambda x, y: x + y, apart) <= 2 * errors
 
 
-def within(a: str, b: str, errors: int) -> Column:
-    """Whether the edit distance of two arrays of characters (column names) is at most ``errors``; ``a`` is no shorter.
+def within(a: Column, b: Column, errors: int) -> Column:
+    """Whether the edit distance of two texts is at most ``errors``; ``a`` is no shorter than ``b``.
 
     The band's cells of column i are the rows i - errors .. i + errors; bit k stands for row i - errors + k. The
     distance is followed down the band's last diagonal to the last row, then along that row.
     """
+    # a one-element transform binds a value, so that it is worked out once wherever the optimizer puts the expression
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return bind(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda z: _within(z["a"], z["b"], errors, bind))
+
+
+def _within(a: Column, b: Column, errors: int, bind) -> Column:
     width = 2 * errors + 1
     full, top = (1 << width) - 1, width - 1
     rows, lit = F.size(a), lambda n: F.lit(n).cast("long")
@@ -101,7 +101,7 @@ def within(a: str, b: str, errors: int) -> Column:
         i, vp, vn = s["i"], s["vp"], s["vn"]
         same = reduce(
             lambda x, y: x + y,
-            [F.when((i - errors + k >= 0) & (F.get(F.col(a), F.greatest(i - errors + k, F.lit(0))) == c), lit(1 << k)).otherwise(lit(0)) for k in range(width)],
+            [F.when((i - errors + k >= 0) & (F.get(a, F.greatest(i - errors + k, F.lit(0))) == c), lit(1 << k)).otherwise(lit(0)) for k in range(width)],
         )
         return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), i.alias("i"), same.alias("x"))
 
@@ -129,9 +129,9 @@ def within(a: str, b: str, errors: int) -> Column:
             (i + 1).alias("i"),
         )
 
-    # a one-element transform binds a value, so that each is worked out once
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    last = F.aggregate(F.col(b), state, lambda s, c: bind(bind(bind(step(s, c), turn), flat), move))
+    # down the diagonal the distance never falls, and along the last row by twice the errors at most, so a pair that
+    # is too far apart stops there
+    last = F.aggregate(b, state, lambda s, c: F.when(s["d"] > 3 * errors, s).otherwise(bind(bind(bind(step(s, c), turn), flat), move)))
     return last["d"] <= errors
 
 
@@ -149,14 +149,12 @@ def similar_lines(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
     """``a, b``: hashes (d1) of distinct lines whose edit distance is 1 to ``errors``."""
     length = F.char_length("line")
     prepared = lines.where(length >= max(min_chars, errors + 1)).select("d1", "d2", "line", length.alias("len"))
-    keyed = prepared.select(
-        "d1", "d2", short_id(F.col("line")).alias("sid"),
-        F.array(*index_keys(F.col("line"), F.col("len"), errors)).alias("own"),
-        F.array_compact(F.array(*probe_keys(F.col("line"), F.col("len"), errors))).alias("seek"),
-    )
-    distinct = keyed.groupBy("d1", "d2").agg(F.first("sid").alias("sid"), F.first("own").alias("own"), F.first("seek").alias("seek"))
-    own = distinct.select("sid", F.explode("own").alias("key"))
-    seek = distinct.select("sid", F.explode("seek").alias("key"))
+    keyed = prepared.select("d1", "d2", short_id(F.col("line")).alias("sid"), keys(F.col("line"), F.col("len"), errors).alias("keys"))
+    distinct = keyed.groupBy("d1", "d2").agg(F.first("sid").alias("sid"), F.first("keys").alias("keys"))
+    n_own, n_all = errors + 1, len(lookups(errors))
+    # both read the same exchange
+    own = distinct.select("sid", F.explode(F.slice("keys", 1, n_own)).alias("key"))
+    seek = distinct.select("sid", F.explode(F.slice("keys", n_own + 1, n_all - n_own)).alias("key")).where("key IS NOT NULL")
 
     def meet(left: DataFrame, ordered: bool) -> DataFrame:
         x, y = F.col("x.sid"), F.col("y.sid")
@@ -168,14 +166,14 @@ def similar_lines(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
     found = prepared.withColumn("sid", short_id(F.col("line"))).join(wanted, "sid").groupBy("d1", "d2").agg(F.first("sid").alias("sid"), F.first("line").alias("line"))
     found = durable(found)
     side = lambda p: found.select(F.col("sid").alias(p), F.col("d1").alias(f"{p}1"), F.col("line").alias(f"{p}_line"))
-    pairs = candidates.join(side("a"), "a").join(side("b"), "b").where("a1 != b1")
+    pairs = candidates.join(side("a"), "a").join(side("b"), "b").where("a1 != b1 AND abs(char_length(a_line) - char_length(b_line)) <= {}".format(errors))
+    # few bytes, much work: spread over all tasks (without the checkpoint the filter would be moved below the exchange)
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = durable(pairs.select("a1", "b1", "a_line", "b_line").repartition(tasks, "a1", "b1"))
     swap = F.char_length("a_line") < F.char_length("b_line")
-    chars = pairs.select(
-        "a1", "b1",
-        F.split(F.when(swap, F.col("b_line")).otherwise(F.col("a_line")), "").alias("longer"),
-        F.split(F.when(swap, F.col("a_line")).otherwise(F.col("b_line")), "").alias("shorter"),
-    ).where(F.size("longer") - F.size("shorter") <= errors)
-    return chars.where(within("longer", "shorter", errors)).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+    longer = F.when(swap, F.col("b_line")).otherwise(F.col("a_line"))
+    shorter = F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))
+    return pairs.where(within(longer, shorter, errors)).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, min_chars: int = 20) -> DataFrame:
