@@ -180,6 +180,25 @@ def test_toxicity_generalises():
     assert 0 <= toxicity.Scorer(toxicity.train([], [], [])).highest("x") <= 1
 
 
+def test_toxicity_reads_long_runs_whole():
+    pick = random.Random(5)
+    words = ["".join(pick.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    def text(bad):
+        return " ".join(pick.choice(words) if not bad or pick.random() > 0.1 else "zorg" + pick.choice(["ling", "lets", "master", "ness"]) for _ in range(60)) + bad * " zorgen"
+    y = [k % 4 == 0 for k in range(240)]
+    model = toxicity.train([text(b) for b in y], [int(b) for b in y], [k % 5 == 0 for k in range(240)])
+    scorer = toxicity.Scorer(model)
+    score = lambda t: float(model.probability(np.array([scorer.highest(t)]))[0])
+    for joint in ["-", "_", "/", "\u2026", "\u200b", ""]:
+        clean, bad = words[:40], [*words[:20], "zorgling", "zorgmaster", *words[20:40]]
+        assert score(joint.join(bad)) > 0.5 > score(joint.join(clean)), joint
+    # every n-gram of a run lies in a piece, at any length
+    for n in range(63, 120):
+        run = "".join(pick.choice("abcdefgh") for _ in range(n))
+        found = toxicity.tokens(f"x {run} y")
+        assert found[0] == "x" and found[-1] == "y" and all(any(run[k : k + 9] in p for p in found) for k in range(n - 8))
+
+
 def test_toxicity_scores_all_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     rows = toxicity.score(docs.withColumn("score", F.lit("old")), toxicity.fit(docs, labels)).collect()

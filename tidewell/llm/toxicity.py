@@ -16,6 +16,7 @@ KB, are broadcast.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import id_fold, py_fold
 
+PARTS = re.compile(r"[^\W_]+")
 EDGES = ".,;:!?\"'()[]{}<>*%&$#…«»¿¡"
 
 
@@ -62,8 +64,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.offset, -60, 60)))
 
 
+#: Runs of more characters than ``LONGEST_WORD`` are read as pieces of ``PIECE`` characters, one every ``STEP``. The
+#: overlap is longer than any n-gram, so no n-gram of a run is missed.
+LONGEST_WORD, PIECE, STEP = 62, 16, 8
+
+
+def pieces(run: str) -> list[str]:
+    """The words of a long run, where letters and digits are joined by other characters, and overlapping pieces of all of it."""
+    found = [run[k : k + PIECE] for k in range(0, len(run) - PIECE + STEP, STEP)]
+    parts = PARTS.findall(run)
+    if len(parts) > 1 or parts and len(parts[0]) < len(run):
+        found += [w for w in parts if len(w) <= LONGEST_WORD]  # longer ones lie in the pieces
+    return found
+
+
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The words of a text, long runs without a space as their pieces."""
+    words = (text or "").lower().split()
+    if not words or max(map(len, words)) <= LONGEST_WORD:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONGEST_WORD else pieces(w))]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,11 +95,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 POWERS = np.cumprod(np.full(80, 0x9E3779B97F4A7C15, np.uint64))
 
 
+#: Words whose n-grams are worked out at once.
+BLOCK = 1 << 14
+
+
 def bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every n-gram of every word and of the words themselves, for all words at once."""
-    # a run longer than 62 characters is no word; its ends stand for it, so that it costs no more than others
+    """(word number, bucket) of every n-gram of every word (as ``tokens`` gives them) and of the words themselves."""
+    found = [_bags(words[k : k + BLOCK], s) for k in range(0, len(words), BLOCK)] or [_bags([], s)]
+    return np.concatenate([o + k * BLOCK for k, (o, _) in enumerate(found)]), np.concatenate([b for _, b in found])
+
+
+def _bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(EDGES) or w}>" for w in words]
-    marked = [w if len(w) <= 64 else w[:32] + w[-32:] for w in marked]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     owner, starts = np.repeat(np.arange(len(marked)), sizes), np.cumsum(sizes) - sizes
@@ -256,9 +283,11 @@ class Scorer:
         if len(self.words) + len(words) > self.most:
             self.words.clear()
         new = [w for w in words if w not in self.words]
-        owner, buckets = bags(new, self.model.settings)
-        sums = np.bincount(owner, self.model.weights[buckets], len(new)) / np.maximum(1, np.bincount(owner, minlength=len(new)))
-        self.words.update(zip(new, sums.tolist()))
+        for k in range(0, len(new), BLOCK):
+            part = new[k : k + BLOCK]
+            owner, buckets = bags(part, self.model.settings)
+            sums = np.bincount(owner, self.model.weights[buckets], len(part)) / np.maximum(1, np.bincount(owner, minlength=len(part)))
+            self.words.update(zip(part, sums.tolist()))
 
     def all_highest(self, texts: list) -> list[float]:
         """Of each text, in groups of bounded size."""
