@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import line_dedup, packing, simhash, toxicity
@@ -22,11 +22,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return made.select(*docs.columns)
 
 
+def row_keys() -> dict[str, Column]:
+    """128 bits of a document's id and text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return {"__k1": F.xxhash64("doc_id", text), "__k2": F.xxhash64(F.lit(5), text, F.col("doc_id"))}
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays (and rows that repeat its id)."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = durable(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.join(small(gone).alias("gone"), docs["doc_id"].eqNullSafe(F.col("gone.doc_id")), "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document with the least id stays; one without an id only if none has any.
+
+    A document is an id with a text, so that others of its id, or without one, aren't touched; rows that repeat both
+    count as one document.
+    """
+    rows = docs.withColumns(row_keys())
+    found = simhash.near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__k1", "__k2").alias("doc"), "text"), "doc")
+    gone = durable(found.where(F.col("doc") != F.col("component_id")).select("doc.__k1", "doc.__k2").distinct())
+    return rows.join(small(gone), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

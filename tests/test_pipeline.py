@@ -1,0 +1,20 @@
+"""The pipeline's own stages."""
+
+import random
+
+import corpus_pipeline
+
+
+def _kept(spark, rows):
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()), key=repr)
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    pick = random.Random(8)
+    a, b, c, d = (" ".join(f"w{pick.random()}" for _ in range(60)) for _ in range(4))
+    # a copy without an id, a copy under an id that another text has too, copies without any id
+    rows = [(1, a), (None, a), (None, b), (2, c), (3, c), (3, d), (None, b.upper())]
+    kept = _kept(spark, rows)
+    assert [(i, t) for i, t in kept if t.lower() != b] == sorted([(1, a), (2, c), (3, d)], key=repr)
+    assert len(kept) == 4
