@@ -1,5 +1,6 @@
 """Registered queries on small tables that hold what a restricted query would miss."""
 
+from tidewell.functions.edits import swap_distance
 from tidewell.plans import queries
 
 
@@ -12,3 +13,15 @@ def test_held_back_follows_every_order(spark, tmp_path):
     _write(spark, tmp_path, "customer", [(k, -900.0 if k == 1 else 0.0) for k in range(1, 11)], "c_custkey long, c_acctbal double")
     _write(spark, tmp_path, "orders", [(12, 2), (13, 3), (20, 4), (27, 5)], "o_orderkey long, o_custkey long")
     assert sorted(r.id for r in queries.held_back(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
+def test_typo_expansion_has_every_alphabet(spark, tmp_path):
+    _write(spark, tmp_path, "benchmark", [(1, "größe straßen2 naïveté łódź9 plainword")], "item_id long, text string")
+    words = ["größe", "straßen2", "naïveté", "łódź9", "plainword", "größer", "plainwort", "naïvetés"]
+    _write(spark, tmp_path, "documents", [(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    want = []
+    for t in ["größe", "straßen2", "naïveté", "łódź9", "plainword"]:
+        term = t[0] + t[2] + t[1] + t[3:]
+        near = sorted((swap_distance(term, w), w) for w in words if swap_distance(term, w) <= (1 if len(term) <= 7 else 2))
+        want += [(term, w, d, k) for k, (d, w) in enumerate(near[:3], 1)]
+    assert sorted((r.term, r.close, r.d, r.place) for r in queries.typo_expansion(spark, str(tmp_path)).collect()) == sorted(want)
