@@ -291,6 +291,20 @@ def test_license_scan(spark):
     assert [p.start for p in license_scan.license_scan(repeated, templates={}, phrases={"a a": "x"}).first().places] == [0, 1, 4]
 
 
+def test_license_scan_reads_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without"
+    rows = [
+        (1, f"x\n# {bsd}\n# modification, are permitted"),
+        (2, "under the terms of the GNU General Public License as published by\n * the Free Software Foundation"),
+        (3, "\n".join(f"{bsd} modification are permitted".split())),
+        (4, f"{bsd}\n" + "other words " * 20 + "\nmodification are permitted"),
+        (5, f"{bsd}\n\n{bsd} modification are permitted"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(b.block, b.label, round(b.containment, 3)) for b in r.blocks] for r in license_scan.license_scan(df).collect()}
+    assert got == {1: [(1, "bsd", 1.0)], 2: [(0, "gpl", 1.0)], 3: [(0, "bsd", 1.0), (1, "bsd", 0.923), (2, "bsd", 0.923), (3, "bsd", 0.846)], 4: [], 5: [(2, "bsd", 1.0)]}
+
+
 def _distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity (containment) join of text blocks with license templates.
 
-DataFrame operations only. A block (a line of a text) holds a template when at least ``ceil(threshold * |T|)`` of the
+DataFrame operations only. A block (a line of a text, or a run of words over several lines that is at most
+``1 / threshold`` times as long as the template) holds a template when at least ``ceil(threshold * |T|)`` of the
 template's distinct words occur in it; a phrase is a template that must be held whole, with its words standing
 consecutively, anywhere in the text.
 
@@ -11,6 +12,8 @@ consecutively, anywhere in the text.
 3. Length filter: blocks with fewer than ``o`` template words are dropped. Positional filter: at the first common
    prefix word, the words left on both sides bound the overlap.
 4. Candidates that are left are verified by intersecting the sets.
+5. Texts that hold enough of a template's words in all are read again for notices that lines break: a window begins at
+   each of these words outside the lines found in 4, and its distinct words are counted.
 
 The template side is a parameter of the program (a few dozen words), never data, so it travels inside the plan.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +54,7 @@ class Rule:
     label: str
     words: tuple[str, ...]  # distinct, rarest first
     need: int  # words that must be shared
+    span: int  # words of a window
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -88,7 +93,7 @@ def rules(ranks: dict[str, int], templates: dict[str, list[str]], threshold: flo
         for text in texts:
             words = sorted(set(_words(text)), key=ranks.__getitem__)
             if words:
-                made.append(Rule(label, tuple(words), math.ceil(threshold * len(words) - 1e-9)))
+                made.append(Rule(label, tuple(words), math.ceil(threshold * len(words) - 1e-9), math.ceil(len(_words(text)) / threshold - 1e-9)))
     return made
 
 
@@ -103,7 +108,7 @@ def license_scan(
 
     ``places``: array of (start, label), one for each place where a phrase's words stand consecutively, words counted
     from 0. ``blocks``: array of (block, label, containment), one for each line (from 0) and template that reaches
-    the threshold. Null texts count as empty; empty texts have no words, places or blocks. Columns of ``docs`` that
+    the threshold, and then one for each template and line where windows over several lines begin that reach it. Null texts count as empty; empty texts have no words, places or blocks. Columns of ``docs`` that
     have one of the three names are replaced. Rows may repeat.
     """
     templates = TEMPLATES if templates is None else templates
@@ -121,6 +126,7 @@ def license_scan(
     # phrases: containment 1, so the prefix is the rarest word alone; then the words' places. The text is split at
     # the first word of each place, so places that overlap are all found.
     place_type, block_type = "array<struct<start:bigint,label:string>>", "array<struct<block:int,label:string,containment:double>>"
+    line_type = "array<struct<block:int,rule:int,label:string,containment:double>>"
     none = F.array().cast(place_type)
     count = lambda piece: (F.octet_length(piece) - F.octet_length(F.replace(piece, F.lit(" "), F.lit(""))) - 1).cast("bigint")
     places = []
@@ -144,7 +150,7 @@ def license_scan(
     def block(own: Column) -> Column:
         """Of a line's template words, rarest first."""
         results = []
-        for rule in made:
+        for number, rule in enumerate(made):
             size, need = len(rule.words), rule.need
             shared = F.array_intersect(own, _literal(rule.words))
             first = F.get(F.array_intersect(own, _literal(rule.prefix)), F.lit(0))
@@ -154,10 +160,36 @@ def license_scan(
             results.append(
                 F.when(
                     passes & (F.size(shared) >= need),
-                    F.struct(F.lit(rule.label).alias("label"), (F.size(shared) / F.lit(float(size))).alias("containment")),
+                    F.struct(F.lit(number).alias("rule"), F.lit(rule.label).alias("label"), (F.size(shared) / F.lit(float(size))).alias("containment")),
                 )
             )
-        return F.array_compact(F.array(*results)) if results else F.array().cast("array<struct<label:string,containment:double>>")
+        return F.array_compact(F.array(*results)) if results else F.array().cast("array<struct<rule:int,label:string,containment:double>>")
+
+    def windows(number: int, rule: Rule) -> Column:
+        """Of a text's template words with their places: the lines where windows that hold the template begin."""
+
+        def begun(hits: Column) -> Column:
+            def window(h: Column, k: Column) -> Column:
+                near = F.filter(F.slice(hits, k + 1, rule.span), lambda x: x["place"] < h["place"] + rule.span)
+                return F.struct(h["block"].alias("block"), F.size(F.array_distinct(F.transform(near, lambda x: x["word"]))).alias("shared"))
+
+            return F.filter(F.transform(hits, window), lambda w: w["shared"] >= rule.need)
+
+        def best(found: Column) -> Column:
+            def of_line(k: Column) -> Column:
+                shared = F.array_max(F.transform(F.filter(found, lambda w: w["block"] == k), lambda w: w["shared"]))
+                return F.struct(k.alias("block"), F.lit(rule.label).alias("label"), (shared / F.lit(float(len(rule.words)))).alias("containment"))
+
+            return F.transform(F.array_distinct(F.transform(found, lambda w: w["block"])), of_line)
+
+        whole = F.transform(F.filter("__lines", lambda b: b["rule"] == number), lambda b: b["block"])
+        hits = F.filter("__at", lambda x: F.array_contains(_literal(rule.words), x["word"]) & ~F.array_contains(whole, x["block"]))
+        # one-element transforms bind values, so that they are worked out once
+        found = F.transform(F.array(hits), begun)
+        return F.when(holds(rule), F.flatten(F.transform(found, best))).otherwise(F.array().cast(block_type))
+
+    def holds(rule: Rule) -> Column:
+        return F.size(F.array_intersect("__own", _literal(rule.words))) >= rule.need
 
     prefixes = sorted({w for rule in made for w in rule.prefix})
     any_prefix = F.arrays_overlap(F.split("__canon", " "), _literal(prefixes)) if prefixes else F.lit(False)
@@ -166,13 +198,29 @@ def license_scan(
         F.transform(
             lines,
             lambda own, k: F.transform(
-                block(own), lambda m: F.struct(k.cast("int").alias("block"), m["label"].alias("label"), m["containment"].alias("containment"))
+                block(own),
+                lambda m: F.struct(k.cast("int").alias("block"), m["rule"].alias("rule"), m["label"].alias("label"), m["containment"].alias("containment")),
+            ),
+        )
+    )
+    words = F.flatten(
+        F.transform(
+            F.split("__text", "\n", -1),
+            lambda line, k: F.transform(
+                F.filter(F.split(canonical(line), " "), lambda w: w != ""), lambda w: F.struct(k.cast("int").alias("block"), w.alias("word"))
             ),
         )
     )
+    placed = F.transform(words, lambda x, k: F.struct(k.alias("place"), x["block"].alias("block"), x["word"].alias("word")))
+    any_held = reduce(lambda a, b: a | b, map(holds, made), F.lit(False))
+    base = base.withColumn("__own", F.array_intersect(in_order, F.split("__canon", " ")))
+    base = base.withColumn("__lines", F.when(any_prefix, blocks).otherwise(F.array().cast(line_type)))
+    base = base.withColumn("__at", F.when(any_held, F.filter(placed, lambda x: F.array_contains(in_order, x["word"]))))
+    own_lines = F.transform("__lines", lambda b: F.struct(b["block"].alias("block"), b["label"].alias("label"), b["containment"].alias("containment")))
+    broken = [windows(k, rule) for k, rule in enumerate(made)]
     return (
         base.withColumn("n_words", F.greatest(spaces - 1, F.lit(0)).cast("bigint"))
         .withColumn("places", F.concat(*places) if places else none)
-        .withColumn("blocks", F.when(any_prefix, blocks).otherwise(F.array().cast(block_type)))
-        .drop("__text", "__canon")
+        .withColumn("blocks", F.when(any_held, F.concat(own_lines.cast(block_type), *broken)).otherwise(F.array().cast(block_type)))
+        .drop("__text", "__canon", "__own", "__lines", "__at")
     )
