@@ -1,11 +1,11 @@
-"""From raw documents to packed training sequences: toxicity, line dedup, SimHash near-dedup, best-fit packing."""
+"""From raw documents to packed training sequences: toxicity, line dedup, near-dedup by five-word shingles, best-fit packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import line_dedup, packing, simhash, toxicity
+from tidewell.llm import line_dedup, near_sets, packing, toxicity
 from tidewell.llm.common import durable, shared_folder, small, table
 from tidewell.llm.queries import vocabulary
 
@@ -29,13 +29,13 @@ def row_keys() -> dict[str, Column]:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; one without an id only if none has any.
+    """Of each group of near-duplicates (0.8 of their five-word shingles at least, over any number of links) the document with the least id stays; one without an id only if none has any.
 
     A document is an id with a text, so that others of its id, or without one, aren't touched; rows that repeat both
     count as one document.
     """
     rows = docs.withColumns(row_keys())
-    found = simhash.near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__k1", "__k2").alias("doc"), "text"), "doc")
+    found = near_sets.near_sets(rows.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__k1", "__k2").alias("doc"), "text"), "doc")
     gone = durable(found.where(F.col("doc") != F.col("component_id")).select("doc.__k1", "doc.__k2").distinct())
     return rows.join(small(gone), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The trained model, the SimHash of byte strings and the packing have no SQL; tests compare with a brute-force version.
+#: The trained model, the shingles of byte strings and the packing have no SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

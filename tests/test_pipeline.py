@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pytest
+from tidewell.llm import near_sets
 
 
 def _kept(spark, rows):
@@ -18,3 +20,42 @@ def test_near_duplicates_go_by_row_not_by_id(spark):
     kept = _kept(spark, rows)
     assert [(i, t) for i, t in kept if t.lower() != b] == sorted([(1, a), (2, c), (3, d)], key=repr)
     assert len(kept) == 4
+
+
+def _shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _linked(a, b):
+    x, y = _shingles(a), _shingles(b)
+    return x == y or 10 * len(x & y) >= 8 * len(x | y) > 0
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_near_sets_are_those_of_brute_force(spark, most):
+    pick = random.Random(9)
+    texts = [None, "", " ", "one two", "One two", "two one"]
+    for _ in range(12):
+        words = [f"w{pick.randint(0, 999)}" for _ in range(pick.randint(5, 150))]
+        for _ in range(6):
+            w = list(words)
+            for _ in range(pick.randint(0, 4)):
+                w[pick.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _linked(texts[i], texts[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    got = {r.doc: r.component_id for r in near_sets.near_sets(df, "doc", most_in_bucket=most).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts)
+
+
+def test_near_duplicates_at_four_fifths_go(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = words[:40] + ["x"] + words[41:120] + ["y"] + words[121:]
+    assert _linked(" ".join(words), " ".join(near))
+    assert _kept(spark, [(1, " ".join(words)), (2, " ".join(near))]) == [(1, " ".join(words))]

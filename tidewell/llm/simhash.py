@@ -36,19 +36,25 @@ GENERATOR = 0b110001110101
 LENGTH, CHECK = 23, 11
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text, as an unsigned number; 0 if it has no words."""
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> list[int]:
+    """The hashes of a text's word shingles, in order; of all words if they are fewer, none if there is no word."""
     words = (text or b"").lower().split()  # both of ASCII only
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-width]))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())]
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)]
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-width]))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text, as an unsigned number; 0 if it has no words."""
+    hashes = shingle_hashes(text, width, seed)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = np.array(hashes[k : k + 65_536], np.uint64).view(np.uint8)
