@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,34 +25,82 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the folder that all executors share.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary one is made.
+    Only where that is unset and all runs in this process (tests on one machine) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp("-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a checkpoint in the folder that all executors share."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Rows that a side may have to be sent to all executors.
-MOST_BROADCAST = 300_000
+#: Bytes that a side may take to be sent to all executors, as its rows' text and numbers.
+MOST_BROADCAST = 32 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df`` marked for a broadcast if a count shows that it has at most ``most`` rows; otherwise as it is, for a
-    join by shuffle. ``df`` should be cheap to read twice."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for a broadcast if a look at all its rows shows that they take at most ``most`` bytes; otherwise as
+    it is, for a join by shuffle. ``df`` should be cheap to read twice."""
+    row = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
+    taken = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if taken <= most else df
+
+
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, StringType | BinaryType):
+        found = F.octet_length(value).cast("long") + 16
+    elif isinstance(kind, ArrayType):
+        inner = kind.elementType
+        plain = not isinstance(inner, StringType | BinaryType | ArrayType | StructType)
+        found = F.size(value).cast("long") * 8 + 16 if plain else F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + _bytes(x, inner))
+    elif isinstance(kind, StructType):
+        found = reduce(lambda a, b: a + b, [_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(24).cast("long"))
+    else:
+        found = F.lit(8).cast("long")
+    return F.coalesce(found, F.lit(8).cast("long"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder, not yet made, where driver and executors can both read and write."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
-    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+#: Bytes of texts that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes (rows hold whole texts). The session's setting is lowered for that,
+    never raised."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)b?$", conf.get(key))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """One object for a worker process, so that tasks after the first find it made. An object under another key takes
+    its place, so a process that serves several operators holds one cache at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +114,3 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 def py_fold(doc_id, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
-
-
-def partitions_for(spark: SparkSession, total_bytes: float, each: float, least: int = 1) -> int:
-    """Partitions so that each gets about ``each`` bytes, and no fewer than the session's shuffle partitions."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // each) + 1)

@@ -8,12 +8,13 @@ least line number) stays, all other lines of the class are removed.
 2. Each distinct line is split into ``errors + 1`` segments. If two lines are within ``errors`` edits, one segment of
    the shorter is found unchanged in the longer, at an offset that the segment's number and the difference in length
    bound. So each line is indexed under (length, segment number, segment) and probes, for its own and each shorter
-   length in reach, the few substrings that can be such a segment.
-3. A pair that meets is kept only if its counts of eight common letters (kept modulo 16 in the line's short id) differ
-   by what ``errors`` edits can change; this is checked inside the join, so lines that share a segment by chance, or
-   many variants of one line, don't multiply.
-4. Candidates are verified by the banded bit-parallel recurrence: one integer holds the vertical differences of the
-   ``2 * errors + 1`` cells of the band, and moves down the diagonal by one bit for each character.
+   length in reach, the few substrings that can be such a segment. Keys that one line alone has are dropped.
+3. Lines that are left get a signature, the counts of 32 characters modulo 16. A pair that meets under a key is kept
+   only if ``errors`` edits can change one signature into the other; this is checked inside the join, so lines that
+   share a segment by chance don't multiply.
+4. Candidates are verified by the banded bit-parallel recurrence, on what is left of them between their common
+   beginning and end: one integer holds the vertical differences of the ``2 * errors + 1`` cells of the band, and moves
+   down the diagonal by one bit for each character.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import durable, small
 from .components import connected_components
 
-#: Letters whose counts make a line's signature, four bits each.
-LETTERS = "etaonihs"
+#: Characters whose counts make a line's signature, four bits each, in two numbers.
+COUNTED = ("etaonihsrdlucmfw", "0123456789pgybv ")
 
 
 def lookups(errors: int) -> list[tuple[int, int, int]]:
@@ -43,39 +44,40 @@ def lookups(errors: int) -> list[tuple[int, int, int]]:
     return own + seek
 
 
-def keys(line: Column, length: Column, errors: int) -> Column:
-    """The keys of ``lookups``, null where a segment would lie outside. Later segments are the longer ones."""
-    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("number"), F.lit(d).alias("shift")) for a, i, d in lookups(errors)])
-    parts = errors + 1
-
-    def key(x: Column) -> Column:
-        shorter = length - x["less"]
-        short, first_long = F.floor(shorter / parts).cast("int"), parts - shorter % parts
-        start = short * x["number"] + F.greatest(x["number"] - first_long, F.lit(0)) + x["shift"]
-        size = short + F.when(x["number"] >= first_long, 1).otherwise(0)
-        found = F.xxhash64(shorter, x["number"], F.substring(line, start + 1, size))
-        return F.when((start >= 0) & (start + size <= length), found)
-
-    return F.transform(listed, key)
+def keyed(lines: DataFrame, errors: int, least: int) -> DataFrame:
+    """``d1, d2`` and the keys of ``lookups`` as ``k0..``, null for lines of fewer than ``least`` characters.
 
-
-def signature(line: Column) -> Column:
-    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS]
-    return reduce(lambda a, b: a + b, [F.shiftleft(n.cast("long"), 4 * k) for k, n in enumerate(counts)])
+    Segment ``i`` of a line of ``n`` characters goes from ``n * i // parts`` to ``n * (i + 1) // parts``; in lines of at
+    least ``errors + parts`` characters all that is looked up lies inside. Characters stand in four bytes each here, so
+    that a segment is found by its place without a walk over the line.
+    """
+    parts = errors + 1
+    rows = lines.withColumn("b", F.encode("line", "UTF-32")).withColumn("n", (F.octet_length("b") / 4).cast("int"))
+    rows = rows.withColumn("n", F.when(F.col("n") >= least, F.col("n")))
+    cut = lambda less, i: F.call_function("div", (F.col("n") - less) * i, F.lit(parts)).cast("int")
+    rows = rows.withColumns({f"c{less}_{i}": cut(less, i) for less in range(parts) for i in range(parts + 1)})
+    made = []
+    for k, (less, i, shift) in enumerate(lookups(errors)):
+        start, end = F.col(f"c{less}_{i}"), F.col(f"c{less}_{i + 1}")
+        segment = F.substring("b", 4 * (start + shift) + 1, 4 * (end - start))
+        made.append(F.when(F.col("n").isNotNull(), F.xxhash64(F.col("n") - less, F.lit(i), segment)).alias(f"k{k}"))
+    return rows.select("d1", "d2", *made)
 
 
-def short_id(line: Column) -> Column:
-    """Signature in the low half, 32 bits of hash in the high half. Ids that collide only add candidates."""
-    return signature(line).bitwiseOR(F.shiftleft(F.xxhash64(F.lit(3), line), 32))
+def signature(line: Column) -> list[Column]:
+    counts = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
+    return [reduce(lambda a, b: a + b, [F.shiftleft(counts(c).cast("long"), 4 * k) for k, c in enumerate(part)]) for part in COUNTED]
 
 
-def may_match(a: Column, b: Column, errors: int) -> Column:
-    """Whether signatures allow ``errors`` edits: an edit changes two counts by one at most."""
+def may_match(x: str, y: str, errors: int) -> Column:
+    """Whether the signatures ``s0, s1`` of two sides allow ``errors`` edits: an edit changes two counts by one at most."""
     apart = []
-    for k in range(len(LETTERS)):
-        d = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
-        apart.append(F.least(d, F.lit(16) - d))
-    return reduce(lambda x, y: x + y, apart) <= 2 * errors
+    for n, part in enumerate(COUNTED):
+        for k in range(len(part)):
+            at = lambda side: F.shiftright(F.col(f"{side}.s{n}"), 4 * k).bitwiseAND(F.lit(15))
+            d = (at(x) - at(y)).bitwiseAND(F.lit(15))
+            apart.append(F.least(d, F.lit(16) - d))
+    return reduce(lambda p, q: p + q, apart) <= 2 * errors
 
 
 def within(a: Column, b: Column, errors: int) -> Column:
@@ -86,7 +88,29 @@ def within(a: Column, b: Column, errors: int) -> Column:
     """
     # a one-element transform binds a value, so that it is worked out once wherever the optimizer puts the expression
     bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    return bind(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda z: _within(z["a"], z["b"], errors, bind))
+    apart = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+
+    def middle(z: Column) -> Column:
+        """What lies between the common beginning and the common end; ``same`` if there is no difference."""
+        first = apart(z["a"], z["b"])
+        return bind(F.struct(first.alias("n"), z["a"].alias("a"), z["b"].alias("b")), lambda t: F.struct(
+            (t["n"] == 0).alias("same"),
+            F.slice(t["a"], F.greatest(t["n"], F.lit(1)), F.size(t["a"])).alias("a"),
+            F.slice(t["b"], F.greatest(t["n"], F.lit(1)), F.size(t["b"])).alias("b"),
+        ))
+
+    def cut(z: Column) -> Column:
+        last = apart(F.reverse(z["a"]), F.reverse(z["b"]))
+        keep = lambda x, n: F.slice(x, 1, F.size(x) - F.greatest(n - 1, F.lit(0)))
+        return bind(F.struct(last.alias("n"), z.alias("z")), lambda t: F.struct(
+            t["z"]["same"].alias("same"), keep(t["z"]["a"], t["n"]).alias("a"), keep(t["z"]["b"], t["n"]).alias("b")
+        ))
+
+    def near(c: Column) -> Column:
+        return F.when(F.size(c["a"]) - F.size(c["b"]) <= errors, _within(c["a"], c["b"], errors, bind)).otherwise(False)
+
+    split = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    return bind(split, lambda z: bind(middle(z), lambda m: bind(cut(m), lambda c: c["same"] | near(c))))
 
 
 def _within(a: Column, b: Column, errors: int, bind) -> Column:
@@ -94,7 +118,7 @@ def _within(a: Column, b: Column, errors: int, bind) -> Column:
     full, top = (1 << width) - 1, width - 1
     rows, lit = F.size(a), lambda n: F.lit(n).cast("long")
     state = F.struct(
-        lit(full & ~((1 << (width - errors - 1)) - 1)).alias("vp"), lit(0).alias("vn"), lit(errors).alias("d"), F.lit(0).alias("i")
+        lit(full & ~((1 << (width - errors - 1)) - 1)).alias("vp"), lit(0).alias("vn"), F.least(rows, F.lit(errors)).cast("long").alias("d"), F.lit(0).alias("i")
     )
 
     def step(s: Column, c: Column) -> Column:
@@ -145,35 +169,50 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("*", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(7), "line").alias("d2"))
 
 
-def similar_lines(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
-    """``a, b``: hashes (d1) of distinct lines whose edit distance is 1 to ``errors``."""
-    length = F.char_length("line")
-    prepared = lines.where(length >= max(min_chars, errors + 1)).select("d1", "d2", "line", length.alias("len"))
-    keyed = prepared.select("d1", "d2", short_id(F.col("line")).alias("sid"), keys(F.col("line"), F.col("len"), errors).alias("keys"))
-    distinct = keyed.groupBy("d1", "d2").agg(F.first("sid").alias("sid"), F.first("keys").alias("keys"))
+def similar_lines(distinct: DataFrame, lines: DataFrame, errors: int, least: int) -> DataFrame:
+    """``a, b``: ids (structs of both hashes) of distinct lines whose edit distance is 1 to ``errors``.
+
+    ``distinct`` has ``d1, d2, k0..`` (see ``_distinct``) and is read several times.
+    """
     n_own, n_all = errors + 1, len(lookups(errors))
-    # both read the same exchange
-    own = distinct.select("sid", F.explode(F.slice("keys", 1, n_own)).alias("key"))
-    seek = distinct.select("sid", F.explode(F.slice("keys", n_own + 1, n_all - n_own)).alias("key")).where("key IS NOT NULL")
+    of = lambda low, high: F.explode(F.array(*[F.col(f"k{k}") for k in range(low, high)]))
+    rows = distinct.select("d1", F.col("k0").isNotNull().alias("long"), *[f"k{k}" for k in range(n_all)]).where("long")
+    every = rows.select("d1", of(0, n_all).alias("key")).where("key IS NOT NULL")
+    shared = every.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high").select("key")
+    shared = small(durable(shared))
+    own = rows.select("d1", of(0, n_own).alias("key")).withColumn("own", F.lit(True))
+    seek = rows.select("d1", of(n_own, n_all).alias("key")).where("key IS NOT NULL").withColumn("own", F.lit(False))
+    met = durable(own.union(seek).join(shared, "key").select("key", "d1", "own"))
+    wanted = small(durable(met.select("d1").distinct()))
+    text = lines.where(F.char_length("line") >= least).join(wanted, "d1").groupBy("d1", "d2").agg(F.first("line").alias("line"))
+    found = durable(text.select(F.struct("d1", "d2").alias("id"), "line", *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))]))
+    placed = met.join(small(found.select(F.col("id.d1").alias("d1"), "id", "s0", "s1")), "d1")
+    own = placed.where("own").select("key", "id", "s0", "s1")
 
     def meet(left: DataFrame, ordered: bool) -> DataFrame:
-        x, y = F.col("x.sid"), F.col("y.sid")
-        met = (F.col("x.key") == F.col("y.key")) & ((x < y) if ordered else (x != y)) & may_match(x, y, errors)
-        return left.alias("x").join(own.alias("y").hint("shuffle_hash"), met).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    candidates = durable(meet(own, True).union(meet(seek, False)).distinct())
-    wanted = small(candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    found = prepared.withColumn("sid", short_id(F.col("line"))).join(wanted, "sid").groupBy("d1", "d2").agg(F.first("sid").alias("sid"), F.first("line").alias("line"))
-    found = durable(found)
-    side = lambda p: found.select(F.col("sid").alias(p), F.col("d1").alias(f"{p}1"), F.col("line").alias(f"{p}_line"))
-    pairs = candidates.join(side("a"), "a").join(side("b"), "b").where("a1 != b1 AND abs(char_length(a_line) - char_length(b_line)) <= {}".format(errors))
+        x, y = F.col("x.id"), F.col("y.id")
+        kept = (F.col("x.key") == F.col("y.key")) & ((x < y) if ordered else (x != y)) & may_match("x", "y", errors)
+        return left.alias("x").join(own.alias("y"), kept).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    candidates = durable(meet(own, True).union(meet(placed.where("NOT own"), False)).distinct())
+    side = lambda p: small(found.select(F.col("id").alias(p), F.col("line").alias(f"{p}_line")))
+    pairs = candidates.join(side("a"), "a").join(side("b"), "b").where("abs(char_length(a_line) - char_length(b_line)) <= {}".format(errors))
     # few bytes, much work: spread over all tasks (without the checkpoint the filter would be moved below the exchange)
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = durable(pairs.select("a1", "b1", "a_line", "b_line").repartition(tasks, "a1", "b1"))
+    pairs = durable(pairs.repartition(tasks, "a", "b"))
     swap = F.char_length("a_line") < F.char_length("b_line")
     longer = F.when(swap, F.col("b_line")).otherwise(F.col("a_line"))
     shorter = F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))
-    return pairs.where(within(longer, shorter, errors)).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+    return pairs.where(within(longer, shorter, errors)).select("a", "b")
+
+
+def _distinct(lines: DataFrame, errors: int, least: int) -> DataFrame:
+    """``d1, d2, n, k0..``: how often each line occurs, and its keys.
+
+    Keys are numbers in columns of their own, so that rows are reduced by a hash map.
+    """
+    listed = [f"k{k}" for k in range(len(lookups(errors)))]
+    return keyed(lines, errors, least).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in listed])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, min_chars: int = 20) -> DataFrame:
@@ -182,15 +221,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``k1, k2`` are the document's hashes, ``first_id`` and ``first_line`` tell where the class occurs first.
     """
     lines = _lines(docs, id_col, text_col)
-    roots = durable(connected_components(durable(similar_lines(lines, errors, min_chars))))
-    place = F.struct("id", "k1", "line_no")
-    distinct = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    rooted = distinct.join(small(roots.withColumnRenamed("node", "d1")), "d1", "left").where("n > 1 OR root IS NOT NULL")
-    rooted = durable(rooted)
-    of_class = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("class_first"))
-    repeated = rooted.join(of_class, "root", "left").select("d1", "d2", F.coalesce("class_first", "first").alias("first"))
-    met = lines.select("d1", "d2", "id", "k1", "k2", "line_no").join(repeated, ["d1", "d2"])
-    gone = met.where(~((F.col("first.k1") == F.col("k1")) & (F.col("first.line_no") == F.col("line_no"))))
+    least = max(min_chars, 2 * errors + 1)
+    distinct = durable(_distinct(lines, errors, least))
+    roots = durable(connected_components(durable(similar_lines(distinct, lines, errors, least))))
+    of_node = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
+    classes = distinct.select("d1", "d2", "n").join(small(of_node), ["d1", "d2"], "left").where("n > 1 OR root IS NOT NULL")
+    classes = durable(classes.select("d1", "d2", F.coalesce("root", F.struct("d1", "d2")).alias("root")))
+    met = durable(lines.select("d1", "d2", "id", "k1", "k2", "line_no").join(small(classes), ["d1", "d2"]).drop("d1", "d2"))
+    first = small(durable(met.groupBy("root").agg(F.min(F.struct("id", "k1", "line_no")).alias("first"))))
+    gone = met.join(first, "root").where(~((F.col("first.k1") == F.col("k1")) & (F.col("first.line_no") == F.col("line_no"))))
     each = F.struct("line_no", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line"))
     return gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(each)).alias("removed"))
 
