@@ -10,14 +10,14 @@ def _plain(v):
 
 
 def names():
-    from tidewell.plans import queries
+    from tidewell.plans import library
 
-    return sorted(queries.QUERIES)
+    return sorted(library.QUERIES)
 
 
 @pytest.mark.parametrize("name", names())
 def test_query_equals_its_sql(spark, name):
-    from tidewell.plans import queries
+    from tidewell.plans import library as queries
 
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

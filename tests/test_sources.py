@@ -27,7 +27,7 @@ def test_transcript(spark):
     m = lambda role, *blocks: json.dumps({"type": role, "message": {"role": role, "content": list(blocks)}})
     lines = [
         m("user", {"type": "text", "text": "build it"}),
-        m("assistant", {"type": "tool_use", "id": "c1", "name": "sh", "input": {"command": "make"}}),
+        m("assistant", {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "make"}}),
         "broken",
         m("user", {"type": "tool_result", "tool_use_id": "c1", "is_error": True, "content": "no rule"}),
     ]
@@ -45,7 +45,10 @@ def test_stream_equals_batch(spark, tmp_path):
         (folder / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows if k <= r["seq"] < k + 4))
     found = stream.fixes(stream.read_records(spark, str(folder), 1))
     q = found.writeStream.format("memory").queryName("fixed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        assert q.awaitTermination(120), "the stream doesn't end"
+    finally:
+        q.stop()
     got = {tuple(r) for r in spark.table("fixed").collect()}
     want = batch.fixes(spark.read.schema(stream.RECORDS).json(str(folder))).where("fixed").select("session", "program", "seq", "island")
     assert got == {tuple(r) for r in want.collect()} and len(got) == 8

@@ -39,6 +39,22 @@ VOLATILE_MAX_WORDS = 20
 TRIVIAL_PROGRAMS = ("cd", "ls", "cat", "echo", "grep", "sed", "mkdir", "for", "-c", "&&", "test", "true")
 
 
+#: The heading that begins a record of each type, and all headings that it needs, in order.
+LEAD_HEADINGS = {"pitfall": "Symptom", "recipe": "When to use", "fact": "Statement", "decision": "Decision", "preference": "Rule"}
+REQUIRED_HEADINGS = {
+    "pitfall": ("Symptom", "Cause", "Fix", "Evidence"),
+    "recipe": ("When to use", "Steps", "Evidence"),
+    "fact": ("Statement", "Evidence"),
+    "decision": ("Context", "Decision", "Why", "Rejected options"),
+    "preference": ("Rule", "Why", "How to apply"),
+}
+STATUS_HEADINGS = {"superseded": "Why superseded", "archived": "Why archived"}
+CURRENT = ("active", "stale")
+IMAGES = ("png", "jpg", "jpeg", "webp", "svg")
+MOST_IMAGE_BYTES = 1 << 20
+MOST_QUERIES, MOST_QUERY_CHARS = 8, 200
+
+
 @dataclass(frozen=True)
 class Ranking:
     k1: float = 1.2

@@ -58,6 +58,11 @@ def headings(body: Column) -> Column:
     return F.array_join(F.regexp_extract_all(body, F.lit(r"(?m)^## (.*)$"), F.lit(1)), " ")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
@@ -77,7 +82,7 @@ def program(command: Column) -> Column:
 
 def key_lines(error: Column) -> Column:
     """Lines that name the problem, else the last three."""
-    all_ = F.filter(F.transform(lines(error), F.trim), lambda x: (x != "") & ~x.startswith("Exit code "))
+    all_ = F.filter(F.transform(lines(error), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("Exit code "))
     named = F.filter(all_, lambda x: x.rlike(ERROR_LINE))
     last = F.slice(all_, F.greatest(F.size(all_) - 2, F.lit(1)), F.lit(3))
     return F.when(F.size(named) > 0, named).otherwise(last)
@@ -107,7 +112,7 @@ def signature(command: Column, error: Column) -> Column:
     """24 hex digits that are equal for the same failure on another day or in another folder."""
     masked = F.regexp_replace(error_query(command, error), r"""(/[^\s:'"]+)+|\b[0-9a-f]{7,}\b|\d+""", "#")
     one_space = F.trim(F.regexp_replace(masked, r"\s+", " "))
-    return F.substring(F.sha2(F.concat(command, F.lit("\n"), one_space), 256), 1, 24)
+    return F.substring(F.sha2(F.concat(F.coalesce(program(command), F.lit("")), F.lit("\n"), one_space), 256), 1, 24)
 
 
 def coverage(error: Column, text: Column, least: int = Gates.line_terms) -> Column:

@@ -52,3 +52,9 @@ def in_range(version: Column, spec: Column) -> Column:
     above = open_low | (key(version) >= key(low)) | has_prefix(version, low)
     below = open_high | (key(version) <= key(high)) | has_prefix(version, high)
     return F.when(parts(version).isNotNull(), above & below)
+
+
+def older_than(spec: Column, version: Column) -> Column:
+    """Whether all versions of a range (see ``in_range``) lie before a version. An open end never does."""
+    high = F.when(spec.contains(":"), F.substring_index(spec, ":", -1)).otherwise(spec)
+    return (F.trim(high) != "") & (key(high) < key(version)) & ~has_prefix(version, high)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions import versions
+from tidewell.functions import markdown, versions
 
 
-def matches(wanted: Column, fact: Column) -> Column:
-    """Whether a fact's value meets one wanted value: ``name@range`` (equal names, then the range; unknown if the fact
+def matches(wanted: Column, fact: Column, key: Column | None = None) -> Column:
+    """Whether a fact's value meets one wanted value: of the key ``path`` a shell pattern; of others ``name@range`` (equal names, then the range; unknown if the fact
     has no version), a range with a colon, or an equal text. A missing fact is unknown."""
     named, name, spec = wanted.contains("@"), F.substring_index(wanted, "@", 1), F.substring_index(wanted, "@", -1)
     fact_name, fact_version = F.substring_index(fact, "@", 1), F.substring_index(fact, "@", -1)
     with_name = F.when(fact_name != name, False).when(fact.contains("@"), versions.in_range(fact_version, spec))
-    return F.when(fact.isNull(), None).when(named, with_name).when(wanted.contains(":"), versions.in_range(fact, wanted)).otherwise(fact == wanted)
+    met = F.when(fact.isNull(), None)
+    if key is not None:
+        met = met.when(key == "path", F.rlike(fact, markdown.glob(wanted)))
+    return met.when(named, with_name).when(wanted.contains(":"), versions.in_range(fact, wanted)).otherwise(fact == wanted)
 
 
 def any_of(verdict: Column) -> Column:
@@ -27,13 +30,20 @@ def all_of(verdict: Column) -> Column:
     return F.when(F.max(~F.coalesce(verdict, F.lit(True))), False).when(F.max(verdict.isNull()), None).otherwise(True)
 
 
-def verdicts(records: DataFrame, conditions: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def verdicts(records: DataFrame, conditions: DataFrame, facts: DataFrame, ancestry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(id, applies, no_keys)`` for every record, and ``(id, key, verdict)`` for every key.
 
     ``conditions`` has ``id, key, value``: values of a key are alternatives, keys must all hold, a record without keys
-    applies. ``facts`` has ``key, fact``. ``no_keys`` lists the keys that decided against it.
+    applies. ``facts`` has ``key, fact``. ``no_keys`` lists the keys that decided against it. ``since`` and ``until`` ask
+    whether a commit is an ancestor (``ancestry``: ``commit, is_ancestor``), which is unknown without a checkout.
     """
-    met = conditions.join(facts, "key", "left").withColumn("v", matches(F.col("value"), F.col("fact")))
+    met = conditions.join(facts, "key", "left")
+    dated = F.col("key").isin("since", "until")
+    if ancestry is not None:
+        met = met.join(ancestry.withColumnsRenamed({"commit": "value", "is_ancestor": "__is"}), "value", "left")
+        met = met.withColumn("v", F.when(dated, F.col("__is") == (F.col("key") == "since")).otherwise(matches(F.col("value"), F.col("fact"), F.col("key"))))
+    else:
+        met = met.withColumn("v", F.when(~dated, matches(F.col("value"), F.col("fact"), F.col("key"))))
     by_key = met.groupBy("id", "key").agg(any_of(F.col("v")).alias("verdict"))
     by_id = by_key.groupBy("id").agg(
         all_of(F.col("verdict")).alias("applies"), F.sort_array(F.collect_list(F.when(~F.col("verdict"), F.col("key")))).alias("no_keys")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import versions
+
 #: Days. Fixed values.
 LONG_STALE, OLD_VERIFIED, UNUSED, FADE, TRANSCRIPT = 90, 365, 180, 30, 14
 #: Counts. Fixed values.
@@ -24,25 +26,51 @@ def acts_as(today: str) -> Column:
     return F.when((F.col("status") == "active") & expired(today), "stale").otherwise(F.col("status"))
 
 
-def reasons(records: DataFrame, counts: DataFrame, today: str) -> DataFrame:
+def reasons(records: DataFrame, use: DataFrame, today: str, folders: DataFrame | None = None, oldest: dict[str, str] | None = None, commits: DataFrame | None = None) -> DataFrame:
     """``id, reasons`` for current records that have any.
 
-    ``records``: ``id, status, verified, expires``; ``counts``: those of ``usage.counts``.
+    ``records``: ``id, status, verified, expires`` and, where known, ``path, when, stale_since``; ``use``: use records
+    ``id, event, time``. ``folders`` (``folder``) are retired; ``oldest`` names the oldest version of a fact that is still
+    supported; ``commits`` (``project, commit``) are those in the checkouts at hand, for projects that have one.
     """
-    joined = records.where(F.col("status").isin("active", "stale")).join(counts, "id", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    helped = n("worked") + 0.5 * n("inferred")
-    listed = F.array_compact(
-        F.array(
-            F.when(expired(today), "expired"),
-            F.when((F.col("status") == "stale") & (age("verified", today) > LONG_STALE), "long stale"),
-            F.when((n("failed") >= FAILED) & (F.col("last_failed") > F.col("verified")), "failed since verified"),
-            F.when((n("injected") >= INJECTED) & (n("worked") == 0) & (n("inferred") == 0), "never helped"),
-            F.when((n("irrelevant") >= IRRELEVANT) & (n("irrelevant") >= helped), "often irrelevant"),
-            F.when((age("verified", today) > UNUSED) & F.col("last_any").isNull(), "unused"),
-        )
+    from tidewell.operators import reports, usage
+
+    rows = records.where(F.col("status").isin("active", "stale"))
+    since = F.to_date(F.lit(today)) - F.expr(f"INTERVAL {UNUSED} DAYS")
+    log = use.join(rows.select("id", "verified"), "id")
+    own = log.groupBy("id").agg(
+        F.count_if((F.col("event") == "failed") & (F.col("time") >= F.col("verified"))).alias("__failed"), F.max(F.to_date(F.substring("time", 1, 10)) >= since).alias("__recent")
     )
-    return joined.select("id", listed.alias("reasons")).where(F.size("reasons") > 0)
+    joined = rows.join(usage.counts(use), "id", "left").join(own, "id", "left")
+    listed = []
+    if folders is not None:
+        out = reports.retired(rows, folders).select("id", F.lit(True).alias("__retired")).distinct()
+        joined = joined.join(out, "id", "left")
+        listed.append(F.when(F.col("__retired"), "retired"))
+    for fact, version in (oldest or {}).items():
+        values = F.col("when")[fact]
+        listed.append(F.when((F.size(values) > 0) & F.forall(values, _before(version)), f"unsupported {fact}"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    helped = n("worked") + n("inferred")
+    stale = "stale_since" if "stale_since" in records.columns else "verified"
+    listed += [F.when(expired(today), "expired"), F.when((F.col("status") == "stale") & (age(stale, today) > LONG_STALE), "long stale")]
+    if commits is not None:
+        project = F.regexp_extract("path", "^projects/([^/]+)/", 1)
+        named = rows.select("id", project.alias("project"), F.explode(F.array_compact(F.array(*[F.get(F.col("when")[k], F.lit(0)) for k in ("since", "until")]))).alias("commit"))
+        gone = named.join(commits.select("project").distinct(), "project", "left_semi").join(commits, ["project", "commit"], "left_anti")
+        joined = joined.join(gone.select("id", F.lit(True).alias("__gone")).distinct(), "id", "left")
+        listed.append(F.when(F.col("__gone"), "missing commit"))
+    listed += [
+        F.when(n("__failed") >= FAILED, "failed since verified"),
+        F.when((n("injected") >= INJECTED) & (helped == 0), "never helped"),
+        F.when((n("irrelevant") >= IRRELEVANT) & (n("irrelevant") >= helped), "often irrelevant"),
+        F.when((F.to_date("verified") < since) & ~F.coalesce("__recent", F.lit(False)), "unused"),
+    ]
+    return joined.select("id", F.array_compact(F.array(*listed)).alias("reasons")).where(F.size("reasons") > 0)
+
+
+def _before(version: str):
+    return lambda spec: F.coalesce(versions.older_than(spec, F.lit(version)), F.lit(False))
 
 
 def fades(records: DataFrame, counts: DataFrame, promoted: DataFrame, today: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's ``spark.checkpoint.dir``; only where none is set, in a temporary folder."""
+    """A checkpoint in the session's ``spark.checkpoint.dir``. Where none is set a temporary folder serves, but only if
+    all runs in this process: on a cluster other machines couldn't read it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp("-checkpoints"))
     return df.checkpoint(eager=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,7 @@ from tidewell.config import STOP_WORDS
 from tidewell.functions import text, versions
 from tidewell.operators import conditions, evaluation, leaks, review, search, sessions, similarity, triage, usage
 from tidewell.plans.lineage import durable
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tidewell.plans.registry import QUERIES, SQL, query, table
 
 def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: the first line is the title, the source the topic, the language the tag."""
@@ -687,30 +668,38 @@ def lint_findings(spark, sf_dir):
 
 # --- review --------------------------------------------------------------------------------------------------------
 
-TODAY = "2026-06-30"
+TODAY = "2024-02-10"
 KEPT = """k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'stale' WHEN c_custkey % 13 = 0 THEN 'archived' ELSE 'active' END AS status,
-  strftime(DATE '2026-06-30' - CAST(c_custkey * 3 % 500 AS INTEGER), '%Y-%m-%d') AS verified, CASE WHEN c_custkey % 20 = 0 THEN '2026-06-01' WHEN c_custkey % 21 = 0 THEN '2026-07-01' END AS expires FROM customer)"""
+  strftime(DATE '2024-02-10' - CAST(c_custkey * 3 % 500 AS INTEGER), '%Y-%m-%d') AS verified, CASE WHEN c_custkey % 20 = 0 THEN '2024-02-01' WHEN c_custkey % 21 = 0 THEN '2024-03-01' END AS expires FROM customer)"""
 
 
 def _kept(spark, sf_dir):
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS id", "CASE WHEN c_custkey % 9 = 0 THEN 'stale' WHEN c_custkey % 13 = 0 THEN 'archived' ELSE 'active' END AS status",
-        "date_format(date_sub(DATE '2026-06-30', CAST(c_custkey * 3 % 500 AS INT)), 'yyyy-MM-dd') AS verified",
-        "CASE WHEN c_custkey % 20 = 0 THEN '2026-06-01' WHEN c_custkey % 21 = 0 THEN '2026-07-01' END AS expires",
+        "date_format(date_sub(DATE '2024-02-10', CAST(c_custkey * 3 % 500 AS INT)), 'yyyy-MM-dd') AS verified",
+        "CASE WHEN c_custkey % 20 = 0 THEN '2024-02-01' WHEN c_custkey % 21 = 0 THEN '2024-03-01' END AS expires",
     )
 
 
 @query(
     "review_reasons",
-    f"""WITH {USAGE}, {COUNTS.format('u')}, {KEPT}, j AS (SELECT k.id, status, verified, expires, date_diff('day', CAST(verified AS DATE), DATE '{TODAY}') AS age, coalesce(worked, 0) AS worked, coalesce(failed, 0) AS failed,
-      coalesce(injected, 0) AS injected, coalesce(inferred, 0) AS inferred, coalesce(irrelevant, 0) AS irrelevant, last_failed, last_any FROM k LEFT JOIN c ON c.id = k.id WHERE status IN ('active', 'stale')),
-    r AS (SELECT id, concat_ws('; ', CASE WHEN expires <= '{TODAY}' THEN 'expired' END, CASE WHEN status = 'stale' AND age > 90 THEN 'long stale' END,
-      CASE WHEN failed >= 2 AND last_failed > verified THEN 'failed since verified' END, CASE WHEN injected >= 5 AND worked = 0 AND inferred = 0 THEN 'never helped' END,
-      CASE WHEN irrelevant >= 3 AND irrelevant >= worked + 0.5 * inferred THEN 'often irrelevant' END, CASE WHEN age > 180 AND last_any IS NULL THEN 'unused' END) AS reasons FROM j)
+    f"""WITH {USAGE}, {COUNTS.format('u')}, {KEPT}, o AS (SELECT k.id, count_if(event = 'failed' AND time >= verified) AS bad, bool_or(CAST(substr(time, 1, 10) AS DATE) >= DATE '{TODAY}' - 180) AS recent FROM k JOIN u ON u.id = k.id GROUP BY k.id),
+    j AS (SELECT k.id, status, verified, expires, coalesce(bad, 0) AS bad, coalesce(recent, false) AS recent, coalesce(worked, 0) AS worked, coalesce(injected, 0) AS injected, coalesce(inferred, 0) AS inferred, coalesce(irrelevant, 0) AS irrelevant
+      FROM k LEFT JOIN c ON c.id = k.id LEFT JOIN o ON o.id = k.id WHERE status IN ('active', 'stale')),
+    r AS (SELECT id, concat_ws('; ', CASE WHEN id % 6 = 1 THEN 'retired' END, CASE WHEN id % 8 IN (1, 2) THEN 'unsupported cuda' END, CASE WHEN expires <= '{TODAY}' THEN 'expired' END, CASE WHEN status = 'stale' AND date_diff('day', CAST(verified AS DATE), DATE '{TODAY}') > 90 THEN 'long stale' END,
+      CASE WHEN id % 6 IN (1, 4) AND id % 8 = 3 THEN 'missing commit' END, CASE WHEN bad >= 2 THEN 'failed since verified' END, CASE WHEN injected >= 5 AND worked + inferred = 0 THEN 'never helped' END,
+      CASE WHEN irrelevant >= 3 AND irrelevant >= worked + inferred THEN 'often irrelevant' END, CASE WHEN CAST(verified AS DATE) < DATE '{TODAY}' - 180 AND NOT recent THEN 'unused' END) AS reasons FROM j)
     SELECT * FROM r WHERE reasons <> ''""",
 )
 def review_reasons(spark, sf_dir):
-    found = review.reasons(_kept(spark, sf_dir), usage.counts(usage_records(spark, sf_dir)), TODAY)
+    kept = _kept(spark, sf_dir)
+    none = F.create_map().cast("map<string,array<string>>")
+    value = F.expr("CASE id % 8 WHEN 1 THEN array('11', ':11.4') WHEN 2 THEN array('10:11.9') WHEN 4 THEN array('11', '12:') ELSE array('12.1') END")
+    when = F.when(F.col("id") % 8 == 3, F.create_map(F.lit("since"), F.array(F.lit("abc")))).when(F.col("id") % 8 < 6, F.create_map(F.lit("cuda"), value)).otherwise(none)
+    placed = kept.withColumns({"path": F.expr("concat('projects/p', CAST(id % 6 AS STRING), '/t/', CAST(id AS STRING), '.md')"), "when": when})
+    # the checkouts of two projects are at hand; neither has the commit
+    commits = spark.createDataFrame([("p1", "def"), ("p4", "def")], "project string, commit string")
+    found = review.reasons(placed, usage_records(spark, sf_dir), TODAY, spark.createDataFrame([("projects/p1",)], "folder string"), {"cuda": "12"}, commits)
     return found.select("id", F.array_join("reasons", "; ").alias("reasons"))
 
 

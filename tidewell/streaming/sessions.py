@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 RECORDS = "session string, seq long, kind string, program string, id long, ts timestamp"
 OUTPUT = "session string, program string, seq long, island long"
 STATE = "last string, done long"
+#: A session's records live for 14 days.
+KEPT_MS = 14 * 24 * 3600 * 1000
 
 
 def read_records(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
@@ -33,13 +35,17 @@ def _advance(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> I
         if kind in ("ok", "failed"):
             last = kind
     state.update((last, int(done)))
-    state.setTimeoutDuration(14 * 24 * 3600 * 1000)  # a session's records live for 14 days
+    latest = rows["ts"].max()
+    base = state.getCurrentWatermarkMs() if pd.isna(latest) else max(state.getCurrentWatermarkMs(), int(latest.timestamp() * 1000))
+    state.setTimeoutTimestamp(max(base, 0) + KEPT_MS)
     yield pd.DataFrame(out, columns=["session", "program", "seq", "island"])
 
 
-def fixes(records: DataFrame) -> DataFrame:
-    """As ``operators.sessions.fixes`` filtered to fixed rows. State is two values for each (session, program)."""
-    return records.groupBy("session", "program").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def fixes(records: DataFrame, late: str = "1 hour") -> DataFrame:
+    """As ``operators.sessions.fixes`` filtered to fixed rows. State is two values for each (session, program), until
+    the watermark of ``ts`` has passed its last record by 14 days; records more than ``late`` behind are left out."""
+    keyed = records.withWatermark("ts", late).groupBy("session", "program")
+    return keyed.applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts_by_window(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
