@@ -31,6 +31,63 @@ def test_find(spark):
     assert got[1][0] == 3 and got[2] == (2, 55.0) and got[3][0] == 1 and 4 not in got
 
 
+def _name_score(query, name):
+    import re
+
+    from tidewell.functions.edits import swap_distance
+
+    q, c = query.strip().lower(), name.lower()
+    words = lambda t: [w for w in re.split(r"[\W_]+", t) if w]
+    if q and q in c:
+        return 100.0 - min(len(c.encode()) / 100, 1.0)
+    cost = 0
+    for w in words(q):
+        near = [0 if x.startswith(w) else min(swap_distance(w, x), swap_distance(w, x[: len(w)])) for x in words(c)]
+        if not q or not near or min(near) > (1 if len(w) <= 4 else 2):
+            return 0.0
+        cost += min(near)
+    return 80.0 if cost == 0 else 60.0 - 5.0 * cost
+
+
+def test_find_equals_brute_force(spark):
+    import random
+
+    pick = random.Random(2)
+    words = "cmake cache stale rebase git hdf5 old api fails größe conflict re cak".split()
+    names = [(k, " ".join(pick.choices(words, k=pick.randint(1, 4)))) for k in range(60)]
+
+    def bent(t):
+        k = pick.randrange(max(1, len(t) - 1))
+        return pick.choice([t, t[:k] + t[k + 1 : k + 2] + t[k : k + 1] + t[k + 2 :], t[:k] + t[k + 1 :], t[: k + 1], t + "z", t.upper()])
+
+    asked = [(k, bent(pick.choice(names)[1])) for k in range(40)]
+    n = spark.createDataFrame([(i, t, t) for i, t in names], "id int, title string, name string")
+    found = search.find(n, spark.createDataFrame(asked, "query_id int, text string"), 100).collect()
+    want = {(q, i): round(_name_score(t, c), 6) for q, t in asked if t.strip() for i, c in names}
+    assert {(r.query_id, r.id): r.score for r in found} == {k: v for k, v in want.items() if v > 0}
+
+
+def test_pairs_equal_brute_force(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = []
+    for d in range(60):
+        ws = {pick.choice("abcdefghijklmnopqrstuvwxyz" if pick.random() < 0.5 else "abcd"): pick.random() + 0.1 for _ in range(8)}
+        norm = sum(w * w for w in ws.values()) ** 0.5
+        rows += [(d, t, w / norm) for t, w in ws.items()]
+    of = {}
+    for d, t, w in rows:
+        of.setdefault(d, {})[t] = w
+    df = spark.createDataFrame(rows, "id int, term string, w double")
+    dot = lambda a, b: min(1.0, round(sum(w * of[b].get(t, 0) for t, w in of[a].items()), 6))
+    for least in (0.2, 0.6):
+        want = {(a, b): dot(a, b) for a in of for b in of if a < b and dot(a, b) >= least}
+        assert {(r.a, r.b): r.similarity for r in similarity.pairs(df, least).collect()} == want
+        few = spark.createDataFrame([(k,) for k in range(0, 60, 7)], "id int")
+        assert {(r.a, r.b): r.similarity for r in similarity.pairs(df, least, few).collect()} == {k: v for k, v in want.items() if k[0] % 7 == 0 or k[1] % 7 == 0}
+
+
 def test_rerank_keeps_unrated_places(spark):
     hits = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (1, 4, 13)], "query_id long, rank int, id long")
     scores = spark.createDataFrame([(1, 10, 0.1), (1, 12, 0.9), (1, 13, 0.5)], "query_id long, id long, relevance double")

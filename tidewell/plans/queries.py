@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.config import STOP_WORDS
+from tidewell.config import REMEMBER, STOP_WORDS, VOLATILE, VOLATILE_MAX_WORDS
 from tidewell.functions import text, versions
 from tidewell.operators import conditions, evaluation, leaks, review, search, sessions, similarity, triage, usage
 from tidewell.plans.lineage import durable
@@ -147,17 +147,14 @@ def ranked_search(spark, sf_dir):
 @query(
     "retrieval_quality",
     f"""WITH {LESSONS}, {BM25},
-    ex AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60))),
+    ex AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
     r AS (SELECT query_id, min(rank) FILTER (WHERE rk.id IS NOT NULL) AS rank FROM ex LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) rk USING (query_id, id) GROUP BY query_id)
     SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM r""",
 )
 def retrieval_quality(spark, sf_dir):
     queries = _benchmark(spark, sf_dir)
     hits = ranked_search(spark, sf_dir)
-    probe = queries.select("query_id", F.substring("text", 1, 60).alias("probe"))
-    docs = table(spark, sf_dir, "documents")
-    # a stated set of passages against all texts; the passages are few and sent to every task
-    expected = docs.join(search.small(probe), docs["text"].contains(F.col("probe"))).select("query_id", F.col("doc_id").alias("id"))
+    expected = search.holding(table(spark, sf_dir, "documents"), "text", queries.withColumnRenamed("text", "q"), ["doc_id"]).withColumnRenamed("doc_id", "id")
     return evaluation.recall_mrr(evaluation.first_expected(hits, expected, queries))
 
 
@@ -196,11 +193,16 @@ def typo_expansion(spark, sf_dir):
     return search.typo_expansions(_misspelt(spark, sf_dir).join(words, "term", "left_anti"), words)
 
 
+# no SQL: DuckDB has no distance with swaps that are edited once; tests compare with brute force
 @query("fuzzy_names")
 def fuzzy_names(spark, sf_dir):
-    names = lessons(spark, sf_dir).select("id", "title", F.substring("title", 1, 80).alias("name"))
-    asked = _benchmark(spark, sf_dir).select("query_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("text"))
-    return search.find(names, asked, 10)
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.explode(F.array("p_name", "p_brand", F.concat_ws(" ", "p_type", "p_name"))).alias("name"))
+    # every distinct name with its second and third letters swapped, and its beginning
+    known = part.select(F.col("p_name").alias("t")).distinct()
+    swapped = F.concat(F.substring("t", 1, 1), F.substring("t", 3, 1), F.substring("t", 2, 1), F.expr("substring(t, 4)"))
+    asked = known.select(F.explode(F.array(swapped, F.substring("t", 1, 6))).alias("text")).distinct()
+    return search.find(names, asked.withColumn("query_id", F.xxhash64("text")), 10)
 
 
 @query(
@@ -575,7 +577,13 @@ def digest_budget(spark, sf_dir):
     return sessions.within_budget(d, ["source"], ["doc_id"], F.col("n_chars") + 1, 60_000).select("source", "doc_id", "total")
 
 
-@query("triage_verdicts")
+@query(
+    "triage_verdicts",
+    rf"""WITH s AS (SELECT conv_id, turn, role, text, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]|[^.!?\n]+$'), lambda x: NOT ends_with(x, '?') AND regexp_matches(x, '{REMEMBER.replace("'", "''")}')) AS r FROM conversations),
+    i AS (SELECT conv_id AS item, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS body, bool_or(len(r) > 0) AS remember, bool_or(len(r) = 0 AND role = 'system') AS correction FROM s GROUP BY conv_id),
+    v AS (SELECT item, CASE WHEN remember THEN 'keep' WHEN regexp_matches(body, '{VOLATILE}') AND len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) <= {VOLATILE_MAX_WORDS} THEN 'drop' WHEN NOT correction THEN 'drop' END AS ruled FROM i)
+    SELECT item, 0 AS index, ruled, coalesce(ruled, 'unsure') AS verdict FROM v""",
+)
 def triage_verdicts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     items = turns.groupBy(F.col("conv_id").alias("item")).agg(
