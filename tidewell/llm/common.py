@@ -8,6 +8,8 @@ import uuid
 import zlib
 from functools import reduce
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -52,9 +54,28 @@ MOST_BROADCAST = 32 << 20
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """``df`` marked for a broadcast if a look at all its rows shows that they take at most ``most`` bytes; otherwise as
     it is, for a join by shuffle. ``df`` should be cheap to read twice."""
+    return F.broadcast(df) if _taken(df) <= most else df
+
+
+#: Bytes of a table that one task may work through at once without being the slow one.
+MOST_AT_ONCE = 8 << 20
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` made durable; in one partition if a look at all its rows shows that they are few, so that joins and groups of
+    it need no exchange."""
+    made = durable(df)
+    return made.coalesce(1) if is_few(made) else made
+
+
+def is_few(df: DataFrame) -> bool:
+    return _taken(df) <= MOST_AT_ONCE
+
+
+def _taken(df: DataFrame) -> int:
+    """About how many bytes all rows take."""
     row = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
-    taken = df.agg(F.sum(row)).first()[0] or 0
-    return F.broadcast(df) if taken <= most else df
+    return df.agg(F.sum(row)).first()[0] or 0
 
 
 def _bytes(value: Column, kind: DataType) -> Column:
@@ -114,3 +135,22 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 def py_fold(doc_id, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, compressed: what small numbers share stands together."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 3)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Sorted numbers as packed differences."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def summed(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpacked(data, kind), dtype=kind)

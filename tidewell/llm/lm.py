@@ -34,12 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_fold, mapped
+from .common import durable, id_fold, mapped, packed, steps, summed, unpacked
 
 END = b"\n"  # no word holds white space
 START = b"\r"
@@ -47,7 +46,7 @@ START = b"\r"
 
 @dataclass(frozen=True)
 class Settings:
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
     range_words: int = 1 << 20  # words that chunks ask for, for each range
     segment_pairs: int = 1 << 20  # training tokens for each segment of the filter
     base: float = 2.0  # of the quantised counts
@@ -80,25 +79,6 @@ def pair_hashes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(history * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """The numbers' first bytes, then their second ones and so on, compressed: what small numbers share stands together."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 3)
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-
-
-def steps(x: np.ndarray) -> bytes:
-    """Sorted numbers as packed differences."""
-    return packed(np.diff(x, prepend=x.dtype.type(0)))
-
-
-def summed(data: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(unpacked(data, kind), dtype=kind)
-
-
 def _part(half: np.ndarray, parts: int) -> np.ndarray:
     """The part of 32-bit numbers when their range is divided evenly."""
     return (half.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -335,6 +315,15 @@ def _scored(segments: int, n_tokens: int, n_types: int, shipped, first: bool, s:
     return run
 
 
+def _both(rate):
+    """Answer and rate a chunk in one worker; where one share holds the whole filter, nothing is kept in between."""
+
+    def run(key: tuple, chunks: pa.Table, sums: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(rate(_answered(key, chunks, sums).to_batches()))
+
+    return run
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_folds: int = 7, held_out: int = 2, s: Settings = Settings()
 ) -> DataFrame:
@@ -368,10 +357,10 @@ def score_texts(
         shares.append((at, end))
         at = end
     wanted = chunks.select("chunk", "ids", "sizes", "tokens", "hashes", "counts")
-    schema = f"chunk long, ids array<{id_type}>, sizes binary, tokens binary, hashes binary, counts binary"
-    ready = wanted.groupBy("chunk").cogroup(sums.select("chunk", "range", "sums").groupBy("chunk")).applyInArrow(_answered, schema)
+    met = wanted.groupBy("chunk").cogroup(sums.select("chunk", "range", "sums").groupBy("chunk"))
     if len(shares) > 1:
-        ready = durable(ready)
+        ready = durable(met.applyInArrow(_answered, f"chunk long, ids array<{id_type}>, sizes binary, tokens binary, hashes binary, counts binary"))
+    schema = f"chunk long, place int, id {id_type}, n_tokens long, n_known long, base_score double, score double"
     partial = None
     for low, high in shares:
         data, first_bit, bits, offset = [], np.zeros(high - low, np.uint64), np.ones(high - low, np.uint64), 0
@@ -380,11 +369,8 @@ def score_texts(
             data.append(np.frombuffer(r["data"], np.uint8))
             offset += 8 * len(data[-1])
         shipped = spark.sparkContext.broadcast((np.concatenate(data) if data else np.zeros(8, np.uint8), first_bit, bits, low, high))
-        scored = mapped(
-            ready,
-            _scored(segments, n_tokens, n_types, shipped, low == 0, s),
-            f"chunk long, place int, id {id_type}, n_tokens long, n_known long, base_score double, score double",
-        )
+        rate = _scored(segments, n_tokens, n_types, shipped, low == 0, s)
+        scored = mapped(ready, rate, schema) if len(shares) > 1 else met.applyInArrow(_both(rate), schema)
         partial = scored if partial is None else partial.unionByName(scored)
     if len(shares) > 1:
         partial = partial.groupBy("chunk", "place", "id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
