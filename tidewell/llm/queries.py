@@ -38,6 +38,25 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the template adds to a turn of each role, in characters, and the strings whose first character is escaped.
+_MARKS = {"system": 8 + 10, "user": 7 + 8, "assistant": 3 + 4}
+_CONTROL = ("<s>", "</s>", "<SYS>>", "</SYS>>", "<<SYS>>", "<</SYS>>", "<TURN>", "</TURN>", "[INST]", "[/INST]")
+_ESCAPES = " + ".join(f"(len(text) - len(replace(text, '{c}', ''))) // {len(c)} * 3" for c in _CONTROL)
+
+OP2_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, string_agg(role, ' ' ORDER BY turn, role, text) AS roles,
+    sum(len(text) + (len(text) - len(replace(text, '&', ''))) * 4 + {_ESCAPES} + CASE role {' '.join(f"WHEN '{r}' THEN {n}" for r, n in _MARKS.items())} END) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+  regexp_full_match(roles, '(system )?user assistant( user assistant)*') AS valid FROM g
+"""
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -124,4 +143,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL = {"op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
