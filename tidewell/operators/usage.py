@@ -93,7 +93,22 @@ def too_many(rows: DataFrame, keys: list[str], ts: str, seconds: int, most: int)
     return rows.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") > most)
 
 
-def nearest_rank(values: Column, percent: int) -> Column:
-    """The value at index ``n * percent / 100`` of the sorted array, the last at most."""
-    at = F.least(F.floor(F.size(values) * percent / 100).cast("int"), F.size(values) - 1)
-    return F.get(F.sort_array(values), at)
+def nearest_ranks(rows: DataFrame, key: str, value: str, percents: tuple[int, ...], buckets: int = 1024) -> DataFrame:
+    """``key, n, p..``: for each percent the value at index ``n * percent / 100`` of the key's sorted values, the last at
+    most; nulls don't count.
+
+    Equal values are counted first. Counts by ranges of values then tell which range holds each rank, and only values of
+    these ranges are put in order, so a key that most rows share is no single task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    edges = counted.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("n"))
+    share = (F.col(value) - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0).cast("double"))
+    placed = counted.join(F.broadcast(edges), key).withColumn("b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int"))
+    by_range = placed.groupBy(key, "n", "b").agg(F.sum("c").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("at")) for p in percents]))
+    held = by_range.withColumn("before", before).select("*", wanted.alias("w")).where((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("c")))
+    inside = placed.select(key, "b", value, F.col("c").alias("own")).join(F.broadcast(held.select(key, "b", "n", "before", "w.p", "w.at")), [key, "b"])
+    upto = F.col("before") + F.sum("own").over(Window.partitionBy(key, "p").orderBy(value))
+    found = inside.withColumn("upto", upto).where(F.col("upto") > F.col("at")).groupBy(key, "n").pivot("p", list(percents)).agg(F.min(value))
+    return found.select(key, "n", *[F.col(str(p)).alias(f"p{p}") for p in percents])

@@ -72,34 +72,26 @@ def term_frequencies(spark, sf_dir):
 
 @query(
     "titles_and_sentences",
-    r"""SELECT doc_id, trim(split_part(text, chr(10), 1), ' ') AS title,
-    trim(regexp_extract(regexp_replace(split_part(text, chr(10), 1), '^[-* ]+', ''), '^(.*?[.?!]) ', 1), ' ') AS sentence,
-    len(text) AS chars FROM documents""",
+    r"""WITH l AS (SELECT doc_id, text, trim(split_part(text, chr(10), 1), ' ') AS title, regexp_replace(regexp_extract(text, '(?m)^[ \t]*(\S.*)$', 1), '^[-* ]+', '') AS line FROM documents)
+    SELECT doc_id, title, trim(CASE WHEN regexp_matches(line, '[.?!] ') THEN regexp_extract(line, '^(.*?[.?!]) ', 1) ELSE line END, ' ') AS sentence, len(text) AS chars FROM l""",
 )
 def titles_and_sentences(spark, sf_dir):
-    first = text.first_line(F.col("text"))
-    sentence = F.regexp_extract(F.regexp_replace(first, r"^[-* ]+", ""), r"^(.*?[.?!]) ", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.trim(first).alias("title"), F.trim(sentence).alias("sentence"), F.char_length("text").cast("long").alias("chars"))
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.trim(text.first_line(t)).alias("title"), text.first_sentence(t).alias("sentence"), F.char_length(t).cast("long").alias("chars"))
 
 
 @query(
     "prompt_signals",
     r"""WITH s AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+$')) AS s FROM conversations WHERE role = 'user'),
-    k AS (SELECT conv_id, turn, trim(s, ' ') AS s FROM s WHERE NOT ends_with(s, '?'))
-    SELECT conv_id, turn,
-      bool_or(regexp_matches(s, '(?i)^(no,\s*(use|it)\b|actually\b|that''?s wrong|that is wrong|don''?t\b|do not\b|stop doing\b|instead\b|des\b)')) AS correction,
-      bool_or(regexp_matches(s, '(?i)\b(remember|note that|keep in mind|don''?t forget)\b')) AS remember
-    FROM k GROUP BY conv_id, turn""",
+    k AS (SELECT conv_id, turn, trim(s, ' ') AS s FROM s WHERE NOT ends_with(s, '?')),
+    g AS (SELECT conv_id, turn, bool_or(regexp_matches(s, '(?i)^(no,\s*(use|it)\b|actually\b|that''?s wrong|that is wrong|don''?t\b|do not\b|stop doing\b|instead\b)')) AS correction,
+      bool_or(regexp_matches(s, '(?i)\b(remember|note that|keep in mind|don''?t forget)\b')) AS remember FROM k GROUP BY conv_id, turn)
+    SELECT c.conv_id, c.turn, coalesce(correction, false) AS correction, coalesce(remember, false) AS remember FROM conversations c LEFT JOIN g USING (conv_id, turn) WHERE role = 'user'""",
 )
 def prompt_signals(spark, sf_dir):
-    from tidewell.config import CORRECTION
-
-    users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    s = users.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$"), F.lit(0))).alias("s")).where("NOT endswith(s, '?')")
-    s = s.withColumn("s", F.trim("s"))
-    # one more opening, so that the invented prose has some corrections
-    opening = CORRECTION.replace(r"instead\b)", r"instead\b|des\b)")
-    return s.groupBy("conv_id", "turn").agg(F.bool_or(F.col("s").rlike(opening)).alias("correction"), F.bool_or(text.prompt_signals(F.col("s"))["remember"]).alias("remember"))
+    said = text.prompt_signals(F.col("text"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", said["correction"].alias("correction"), said["remember"].alias("remember"))
 
 
 @query(
@@ -309,12 +301,7 @@ def write_bursts(spark, sf_dir):
     SELECT event_type, len(v) AS n, v[least(len(v) * 50 // 100, len(v) - 1) + 1] AS p50, v[least(len(v) * 90 // 100, len(v) - 1) + 1] AS p90 FROM v""",
 )
 def nearest_rank_percentiles(spark, sf_dir):
-    v = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    w = Window.partitionBy("event_type").orderBy("value")
-    # ranks by a window that spills, not by a list in one row
-    ranked = v.select("event_type", "value", (F.row_number().over(w) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), at(50).alias("p50"), at(90).alias("p90"))
+    return usage.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", (50, 90))
 
 
 @query(
@@ -514,16 +501,16 @@ def threshold_pick(spark, sf_dir):
 # --- sessions and triage -------------------------------------------------------------------------------------------
 
 SESSIONS = """r AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ok' WHEN 'view' THEN 'injected' WHEN 'click' THEN 'nohit' ELSE 'remember' END AS kind,
-  'p' || CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS program, CAST(floor(value) AS BIGINT) % 17 AS id FROM events WHERE value IS NOT NULL)"""
+  'p' || CAST(CAST(floor(coalesce(value, 0)) AS BIGINT) % 3 AS VARCHAR) AS program, CAST(floor(coalesce(value, 0)) AS BIGINT) % 17 AS id FROM events)"""
 FIXES = """f AS (SELECT *, kind = 'ok' AND coalesce(last_value(CASE WHEN kind IN ('failed', 'ok') THEN kind END IGNORE NULLS) OVER (PARTITION BY session, program ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'failed', false) AS fixed FROM r),
   i AS (SELECT *, CAST(coalesce(sum(CAST(fixed AS INTEGER)) OVER (PARTITION BY session, program ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS island FROM f)"""
 
 
 def _session_records(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value IS NOT NULL").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "user_id AS session", "event_id AS seq",
         "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ok' WHEN 'view' THEN 'injected' WHEN 'click' THEN 'nohit' ELSE 'remember' END AS kind",
-        "concat('p', CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING)) AS program", "CAST(floor(value) AS BIGINT) % 17 AS id",
+        "concat('p', CAST(CAST(floor(coalesce(value, 0)) AS BIGINT) % 3 AS STRING)) AS program", "CAST(floor(coalesce(value, 0)) AS BIGINT) % 17 AS id",
     )
 
 
@@ -549,12 +536,12 @@ def session_worth(spark, sf_dir):
 
 @query(
     "repeated_signatures",
-    """WITH d AS (SELECT doc_id AS seq, source AS session, substr(sha256(split_part(text, chr(10), 1)), 1, 24) AS sig FROM documents),
+    """WITH d AS (SELECT doc_id AS seq, source AS session, substr(sha256(text), 1, 24) AS sig FROM documents),
     s AS (SELECT sig, session, min(seq) AS seq FROM d GROUP BY sig, session), k AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY seq, session) AS k FROM s)
     SELECT sig, count(*) AS sessions, max(session) FILTER (WHERE k = 2) AS second FROM k GROUP BY sig HAVING count(*) > 1""",
 )
 def repeated_signatures(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("session"), F.substring(F.sha2(text.first_line(F.col("text")), 256), 1, 24).alias("sig"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("session"), F.substring(F.sha2("text", 256), 1, 24).alias("sig"))
     return sessions.repeated_signatures(d)
 
 
