@@ -448,3 +448,29 @@ def test_components(spark):
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    pick = random.Random(7)
+    words = ["".join(pick.choices("abcdefghé", k=pick.randint(1, 9))) for _ in range(3000)]
+    long = "\n".join(" ".join(pick.choices(words, k=12)) for _ in range(30_000))  # some 2 MB in many lines
+    flat = " ".join(pick.choices(words, k=300_000))  # and in one
+    run = "ab-" * 500_000  # one word
+    df = spark.createDataFrame([(1, long), (2, flat), (3, run), (4, "short")], "doc_id long, text string")
+    none = df.where("false")
+    e = bpe.encode_digests(df, vocabulary())
+    assert {r.doc_id: r.decoded_sha256 for r in e.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in [(1, long), (2, flat), (3, run), (4, "short")]}
+    assert bpe.encode_digests(none, vocabulary()).collect() == []
+    pieces = packing.pack_documents(df, vocabulary()).collect()
+    assert {r.doc_id: sum(x.length for x in pieces if x.doc_id == r.doc_id) - 1 for r in pieces} == {r.doc_id: r.n_tokens for r in e.collect()}
+    model = toxicity.train(["good day", "bad slur here"] * 20, [0, 1] * 20, [False] * 40)
+    assert all(0 <= r.score <= 1 for r in toxicity.score(df, model).collect()) and toxicity.score(none, model).collect() == []
+    assert len(simhash.near_duplicates(df).collect()) == 4
+    assert {r.component_id for r in simhash.near_duplicates(df, width=5, percent=80).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id: r.n_tokens for r in lm.score_texts(df).collect()} == {i: len(t.split()) + 1 for i, t in [(1, long), (2, flat), (3, run), (4, "short")]}
+    assert {r.doc_id: r.n_words for r in license_scan.license_scan(df).collect()} == {i: len(license_scan._words(t)) for i, t in [(1, long), (2, flat), (3, run), (4, "short")]}
+    assert {r.doc_id: r.n_lines for r in line_dedup.line_dedup(df).collect()} == {1: 30_000, 2: 1, 3: 1, 4: 1}
+    assert len(exact_dedup.exact_dedup(df).collect()) == 4
+    chats = spark.createDataFrame([(1, 0, "user", flat), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (made,) = chat.format_chats(chats).select(chat.read_back(F.col("formatted")).alias("t")).collect()
+    assert [t.text for t in made.t] == [flat, long]

@@ -126,3 +126,11 @@ def test_op10_removes_exact_copies(spark, texts):
                 if line in first:
                     assert k in {x.line_no for x in rows[i].removed}
                 first.setdefault(line, (i, k))
+
+
+def test_op6_knows_held_out_texts(spark):
+    rows = {r.doc_id: r for r in queries.op6_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    known = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").fetchall()
+    held = [(rows[i].predicted, y) for i, y in known if i in rows and rows[i].held_out]
+    toxic = [p for p, y in held if y]
+    assert len(held) > 500 and sum(p == y for p, y in held) >= 0.97 * len(held) and sum(toxic) >= 0.85 * len(toxic)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, is_few
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -16,13 +16,16 @@ def _least(pairs: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``a`` and ``b``, 64-bit); the root is the least node.
 
-    Each round is two joins on a node's number and leaves at most as many links as before, so nothing is ever
-    gathered; rounds grow with the logarithm of the links. Loops and repeated links are harmless; no links, no rows.
+    Each round is two joins on a node's number and leaves at most as many links as before, so no component is ever
+    gathered; rounds grow with the logarithm of the links. A few links (some MB) are worked through in one partition,
+    without exchanges. Loops and repeated links are harmless; no links, no rows.
     """
     stars = durable(links.select("a", "b").where("a != b").distinct())
+    alone = is_few(stars)
     seen = None
     for _ in range(most_rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if alone else both
         large = (
             both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         )
@@ -35,4 +38,5 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
+    out = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
+    return out.coalesce(1) if alone else out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mapped
 from .components import connected_components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code. Fixed value.
@@ -52,7 +52,11 @@ def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> list[int]:
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text, as an unsigned number; 0 if it has no words."""
-    hashes = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that over half of the hashes have."""
     if not hashes:
         return 0
     total = np.zeros(64, np.int64)
@@ -71,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[id_col, "fp"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp long")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp long")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -144,12 +148,20 @@ def links(distinct: DataFrame, most_in_bucket: int = 64) -> DataFrame:
     return pairs.union(through)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int | None = None) -> DataFrame:
     """``id_col, fp, component_id`` for each row: its fingerprint and the least id that links reach, its own included.
 
+    Fingerprints link at two or fewer differing bits. With ``percent``, texts link instead if the Jaccard similarity of
+    their shingles reaches it; linked fingerprints are then only the first candidates, and ``near_sets`` finds the rest
+    (similar texts mostly differ in more bits); ids must then tell texts apart.
+
     Rows repeat as they are given; a null id never is the least unless all ids of a component are null. Texts without
     words have fingerprint zero and link like any other. Other columns are ignored; an empty table stays empty.
     """
+    if percent is not None:
+        from .near_sets import near_sets
+
+        return near_sets(docs, id_col, text_col, width, percent)
     rows = durable(fingerprints(docs, id_col, text_col, width).withColumnRenamed(id_col, "__id"))
     known = rows.groupBy("fp").agg(F.min("__id").alias("least"))
     roots = connected_components(links(known.select("fp")))

@@ -17,6 +17,7 @@ KB, are broadcast.
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, py_fold
+from .common import id_fold, kept, mapped, py_fold
 
 PARTS = re.compile(r"[^\W_]+")
 EDGES = ".,;:!?\"'()[]{}<>*%&$#…«»¿¡"
@@ -100,9 +101,10 @@ BLOCK = 1 << 14
 
 
 def bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every n-gram of every word (as ``tokens`` gives them) and of the words themselves."""
+    """(word number, bucket) of every n-gram of every word (as ``tokens`` gives them) and of the words themselves, in
+    order of the words."""
     found = [_bags(words[k : k + BLOCK], s) for k in range(0, len(words), BLOCK)] or [_bags([], s)]
-    return np.concatenate([o + k * BLOCK for k, (o, _) in enumerate(found)]), np.concatenate([b for _, b in found])
+    return np.concatenate([o + np.int32(k * BLOCK) for k, (o, _) in enumerate(found)]), np.concatenate([b for _, b in found])
 
 
 def _bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +121,13 @@ def _bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             h += (codes[at + j] + np.uint64(1)) * POWERS[j]
         owners.append(owner[at])
-        buckets.append(_mixed(h) % np.uint64(s.buckets))
+        buckets.append((_mixed(h) % np.uint64(s.buckets)).astype(np.int32))
     if len(marked):
         owners.append(np.arange(len(marked)))
-        buckets.append(_mixed(np.add.reduceat((codes + np.uint64(1)) * POWERS[place + 8], starts)) % np.uint64(s.buckets))
-    return np.concatenate(owners or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.uint64)]).astype(np.int32)
+        buckets.append((_mixed(np.add.reduceat((codes + np.uint64(1)) * POWERS[place + 8], starts)) % np.uint64(s.buckets)).astype(np.int32))
+    every = np.concatenate(owners or [np.zeros(0, np.int64)]).astype(np.int32)
+    order = np.argsort(every, kind="stable")
+    return every[order], np.concatenate(buckets or [np.zeros(0, np.int32)]).astype(np.int32)[order]
 
 
 def window_ends(n: int, size: int) -> np.ndarray:
@@ -152,12 +156,16 @@ class _Corpus:
             ids.extend(row)
             sizes.extend(np.diff(np.append(starts, len(row))).tolist())
             owner.extend([d] * len(starts))
-        word_of, buckets = bags(list(numbers), s)
-        order = np.argsort(word_of, kind="stable")
+        words, sizes_of, buckets = list(numbers), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for k in range(0, len(words), BLOCK):
+            part = words[k : k + BLOCK]
+            owner_of, found = _bags(part, s)
+            sizes_of.append(np.bincount(owner_of, minlength=len(part)))
+            buckets.append(found)
         self.words = np.array(ids, np.int32)
         self.sizes, self.owner = np.array(sizes, np.int64), np.array(owner, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bag_sizes, self.bags = np.bincount(word_of, minlength=len(numbers)), buckets[order]
+        self.bag_sizes, self.bags = np.concatenate(sizes_of), np.concatenate(buckets)
         self.bag_starts = np.cumsum(self.bag_sizes) - self.bag_sizes
 
     def log_odds(self, y: np.ndarray, own: np.ndarray, buckets: int, least: int) -> np.ndarray:
@@ -275,7 +283,7 @@ def train(texts: list[str], labels: list[int], held_back: list[bool], s: Setting
 class Scorer:
     """The pooled windows of texts; scores of words are remembered up to a bound."""
 
-    def __init__(self, model: Model, most: int = 1_000_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most, self.words = model, most, {}
 
     def learn(self, words: set[str]) -> None:
@@ -314,9 +322,6 @@ class Scorer:
         return pooled(np.add.reduceat(scores, starts) / sizes, len(found), self.model.settings.share) + self.model.bias
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_fold: int = 5, s: Settings = Settings()) -> Model:
     """Learn from labelled rows outside the held-out fold (crc32 of the id as text, modulo ``held_out_fold``, is not 0).
 
@@ -338,20 +343,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     Null and empty texts have a score too, that of no words. Columns of these two names are replaced; only ``text`` is
     read. Rows may repeat.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, mark = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     rows = docs.drop("score", "predicted")
     names = [f"c{k}" for k in range(len(rows.columns))]
     at = rows.columns.index("text")
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema)) + ", score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _SCORERS.get(id(shipped.value))
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[id(shipped.value)] = Scorer(shipped.value)
+        scorer = kept(("toxicity", mark), lambda: Scorer(shipped.value))
         for batch in batches:
             highest = np.array(scorer.all_highest(batch.column(at).to_pylist()), np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.model.probability(highest))], names=[*names, "score"])
 
-    scored = rows.toDF(*names).mapInArrow(run, schema).toDF(*rows.columns, "score")
+    scored = mapped(rows.toDF(*names), run, schema).toDF(*rows.columns, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
