@@ -244,13 +244,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     removed = small(durable(repeated_lines(docs, id_col, text_col, errors, min_chars)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("n_lines", "removed").withColumns({"__k1": F.xxhash64(id_col, text), "__k2": F.xxhash64(F.lit(5), text, F.col(id_col))})
-    joined = rows.join(removed.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
+    rows = docs.drop("n_lines", "removed").withColumns({"__line_k1": F.xxhash64(id_col, text), "__line_k2": F.xxhash64(F.lit(5), text, F.col(id_col))})
+    joined = rows.join(removed.withColumnsRenamed({"k1": "__line_k1", "k2": "__line_k2"}), ["__line_k1", "__line_k2"], "left")
     lines = F.split(text, "\n", -1)
     left = F.filter(lines, lambda _, k: ~F.array_contains("removed.line_no", k))
     return (
         joined.withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn(text_col, F.when(F.col("removed").isNull(), text).otherwise(F.array_join(left, "\n")))
         .withColumn("removed", F.coalesce("removed", F.array().cast(removed.schema["removed"].dataType)))
-        .drop("__k1", "__k2")
+        .drop("__line_k1", "__line_k2")
     )
