@@ -110,6 +110,7 @@ def error_query(command: Column, error: Column, most: int = Gates.query_terms) -
 
 def signature(command: Column, error: Column) -> Column:
     """24 hex digits that are equal for the same failure on another day or in another folder."""
+    # the mask is a fixed value
     masked = F.regexp_replace(error_query(command, error), r"""(/[^\s:'"]+)+|\b[0-9a-f]{7,}\b|\d+""", "#")
     one_space = F.trim(F.regexp_replace(masked, r"\s+", " "))
     return F.substring(F.sha2(F.concat(F.coalesce(program(command), F.lit("")), F.lit("\n"), one_space), 256), 1, 24)
@@ -131,6 +132,7 @@ def typed_text(prompt: Column) -> Column:
     out = prompt
     for tag in TOOL_BLOCKS:
         out = F.regexp_replace(out, rf"(?s)<{tag}\b[^>]*>.*?</{tag}\b[^>]*>", "")
+    # fixed value
     notices = r"(?m)^\s*(Another Claude session sent a message:.*|\[Request interrupted by user.*|\[SYSTEM NOTIFICATION.*)$"
     return F.trim(F.regexp_replace(out, notices, ""))
 

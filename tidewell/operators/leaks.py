@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.config import PATH_ROOTS
 
+#: What the rules find. Fixed values.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
 BASE58 = "1-9A-HJ-NP-Za-km-z"
 JOB = rf"(?i:\bjob[_ ]?id\s*[=:]\s*\d+|\bsubmitted batch job \d+|\bSLURM_JOB_ID=\d+)|ƒ[{BASE58}]{{4,}}"
