@@ -157,9 +157,8 @@ def test_packing_is_whole(docs):
 
 
 def test_packing_of_many_blocks(spark, monkeypatch):
-    """Small blocks and buckets, repeated rows, and columns with the names that are used inside."""
+    """Small blocks, repeated rows, and columns with the names that are used inside."""
     monkeypatch.setattr(packing, "BLOCK_RANKS", 3)
-    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
     pick = random.Random(6)
     rows = [(pick.choice([1024, 1024, 700, 324, 300, 24, 5, 5, 1]), k // 2, "b", -1) for k in range(400)]
     df = spark.createDataFrame(rows, "length long, rank long, bucket string, sequence_id long")

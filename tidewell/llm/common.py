@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,7 +112,19 @@ def mapped(df: DataFrame, f, schema: str) -> DataFrame:
     now = re.match(r"(\d+)b?$", conf.get(key))
     if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidy() -> None:
+    """Give memory that a worker process no longer uses back to its machine: processes stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have this call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _KEPT: dict = {}

@@ -9,11 +9,13 @@ packing, and there are at most ``capacity`` distinct ones, so the instance is a
 
 The outcome is a list of runs: "items number a to b of this length lie at this offset of the sequences from s on".
 Pieces find their run by their number among the pieces of equal length. Those numbers are counted in two levels
-(length and bucket), so a length that a third of all pieces share is no single task.
+(length and bucket) and looked up in blocks, both of bounded size, so a length that a third of all pieces share is no
+single task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import shared_encoder
-from .common import durable
+from .common import durable, mapped
 
-#: Runs that a plan may have to be sent to all executors; longer ones are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Ranks that are looked up in one window.
+BLOCK_RANKS = 512
 
 
 @dataclass
@@ -160,7 +162,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: i
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(shipped.value, None, "tiktoken")
+        encoder = shared_encoder(shipped.value, None, "tiktoken", 200_000)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -185,36 +187,44 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: i
             )
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(rows, run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int, buckets: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (any columns, with a ``length`` of 1 to ``capacity``) with ``sequence_id, offset`` added.
 
-    Repeated rows are pieces of their own. Columns of these two names are replaced. Lengths that are null or out of
-    range raise an error. An empty table stays empty.
+    Repeated rows are pieces of their own. Columns of these two names are replaced; all others pass through, whatever
+    their names. Lengths that are null or out of range raise an error. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    pieces = durable(pieces.drop("sequence_id", "offset"))
-    own = pieces.columns
-    rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
-    in_bucket = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = in_bucket.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    counts = {r["length"]: r["n"] for r in in_bucket.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    given = pieces.drop("sequence_id", "offset")
+    names = [f"c{k}" for k in range(len(given.columns))]
+    rows = durable(given.toDF(*names).withColumn("length", F.col(names[given.columns.index("length")]).cast("long")))
+    buckets = math.isqrt(rows.count()) + 1  # as many as the pieces of one that all had the same length
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    in_bucket = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = in_bucket.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = {r["length"]: r["n"] for r in in_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if any(x is None or not 0 < x <= capacity for x in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     plan = plan_packing(counts, capacity)
-    runs = spark.createDataFrame(plan.runs, "length long, __first long, __count long, __sequence long, offset long")
-    if len(plan.runs) <= MOST_BROADCAST:
-        runs = F.broadcast(runs)
-    number = Window.partitionBy("length", "__bucket").orderBy(*own)
-    ranked = rows.join(starts, ["length", "__bucket"]).withColumn("__rank", F.col("__from") + F.row_number().over(number) - 1)
-    return (
-        ranked.join(runs, "length")
-        .where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__count")))
-        .select(*own, (F.col("__sequence") + F.col("__rank") - F.col("__first")).alias("sequence_id"), "offset")
-    )
+    number = Window.partitionBy("length", "bucket").orderBy(*names)
+    ranked = rows.join(starts, ["length", "bucket"]).withColumn("rank", F.col("from") + F.row_number().over(number) - 1)
+    # a piece lies in the last run of its length that begins at or before its rank. Runs are cut where blocks of ranks
+    # begin, so each block holds all that its pieces need, and pieces and runs are read together, once
+    block = lambda rank: F.floor(rank / BLOCK_RANKS).cast("long")
+    runs = spark.createDataFrame(plan.runs, "length long, first long, count long, sequence long, at long")
+    last = block(F.col("first") + F.col("count") - 1)
+    cut = runs.withColumn("block", F.explode(F.sequence(block(F.col("first")), last)))
+    cut = cut.withColumn("rank", F.greatest("first", F.col("block") * BLOCK_RANKS))
+    run = F.struct((F.col("sequence") - F.col("first")).alias("shift"), "at")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name in names]
+    both = ranked.select("length", "rank", block(F.col("rank")).alias("block"), F.lit(True).alias("piece"), *names, F.lit(None).cast("struct<shift:bigint,at:bigint>").alias("run"))
+    both = both.union(cut.select("length", "rank", "block", F.lit(False), *nothing, run))
+    upto = Window.partitionBy("length", "block").orderBy("rank", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("in", F.last("run", ignorenulls=True).over(upto)).where("piece")
+    return met.select(*[F.col(n).alias(c) for n, c in zip(names, given.columns)], (F.col("rank") + F.col("in.shift")).alias("sequence_id"), F.col("in.at").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
