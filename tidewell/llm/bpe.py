@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, mapped
+
 #: Cuts text into words. Fixed value of the byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN)
@@ -257,7 +259,7 @@ class _Pieces(dict):
 class Encoder:
     """Encodes and decodes whole texts. ``cache`` bounds the pieces that are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, cache: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, cache: int = 500_000):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pieces = _Pieces(self, cache)
         self.marks = {m: struct.pack("<I", vocabulary.of_byte[ord(m)]) for m in MARKS}
@@ -298,7 +300,7 @@ class Encoder:
 class TiktokenEncoder(Encoder):
     """The same ids; words that aren't in the cache are merged by the ``tiktoken`` library."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 500_000):
         super().__init__(vocabulary, None, cache)
         import tiktoken
 
@@ -313,17 +315,15 @@ class TiktokenEncoder(Encoder):
     encode_word = encode_run
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
+def shared_encoder(vocabulary: bytes, lexicon: bytes | None, kind: str = "own", cache: int = 1_000_000) -> Encoder:
+    """One encoder for a worker process, so that tasks after the first find its cache filled. ``cache`` bounds it; a full
+    one of a million pieces takes some 200 MB."""
 
-def shared_encoder(vocabulary: bytes, lexicon: bytes | None, kind: str = "own") -> Encoder:
-    """One encoder for a worker process, so that tasks after the first find its cache filled."""
-    key = (kind, hashlib.md5(vocabulary).digest(), hashlib.md5(lexicon or b"").digest())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
+    def make() -> Encoder:
         v = Vocabulary(vocabulary)
-        _ENCODERS[key] = TiktokenEncoder(v) if kind == "tiktoken" else Encoder(v, Lexicon(lexicon) if lexicon else None)
-    return _ENCODERS[key]
+        return TiktokenEncoder(v, cache) if kind == "tiktoken" else Encoder(v, Lexicon(lexicon) if lexicon else None, cache)
+
+    return kept((kind, hashlib.md5(vocabulary).digest(), hashlib.md5(lexicon or b"").digest()), make)
 
 
 def _count_words(most: int, at_once: int = 300_000):
@@ -332,8 +332,9 @@ def _count_words(most: int, at_once: int = 300_000):
 
         def settle() -> None:
             for piece, n in pieces.items():
-                for w in WORDS.findall(" " + piece):
-                    words[w] += n
+                if n > 1:  # what is met once among so many pieces is no frequent word
+                    for w in WORDS.findall(" " + piece):
+                        words[w] += n
             pieces.clear()
             if len(words) > at_once:  # the rarest words of a task can't be frequent words of the corpus
                 kept = words.most_common(at_once // 2)
@@ -360,7 +361,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 32_768)
 
     Each task counts all its texts and hands on at most ``most`` words, so the result is bounded.
     """
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words(most), "word string, n long")
+    counted = mapped(docs.select(F.col(text_col).cast("string")), _count_words(most), "word string, n long")
     return [r["word"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -371,7 +372,8 @@ def lexicon_for(words: Iterable[str], vocabulary: Vocabulary) -> bytes:
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 32_768) -> DataFrame:
     """One row per document: ``id_col, ids (array<int>), decoded``.
 
-    Null texts count as empty, which have no ids; other columns are ignored. The vocabulary and the lexicon are of
+    Null texts count as empty, which have no ids; rows may repeat, and an empty table gives no rows; other columns are
+    ignored. The vocabulary and the lexicon are of
     bounded size and travel to the workers as broadcast variables.
     """
     return _mapped(docs, vocabulary_path, id_col, text_col, lexicon_words, _ids_and_text, "ids array<int>, decoded string")
@@ -411,4 +413,4 @@ def _mapped(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, l
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *make(encoder, batch.column(1).to_pylist())], names=names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {schema}")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {schema}")
