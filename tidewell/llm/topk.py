@@ -78,6 +78,7 @@ def _histograms(k: int, exact_float: bool):
                 q_ids, c_ids, s = _scores(row, exact_float)
                 low, width = np.frombuffer(row.q_low, np.int64), np.frombuffer(row.q_width, np.int64)
                 need, span = np.frombuffer(row.q_need, np.int64), np.frombuffer(row.q_span, np.int64)
+                numbers = np.frombuffer(row.q_q, np.int64)
                 out = []
                 for i in range(len(q_ids)):
                     x = s[i][c_ids != q_ids[i]] - low[i]
@@ -87,7 +88,7 @@ def _histograms(k: int, exact_float: bool):
                     bins, n = np.unique(x, return_counts=True)
                     above = n[::-1].cumsum()[::-1] - n  # scores of this block over each bin
                     keep = above < need[i]
-                    out.append(pd.DataFrame({"id": q_ids[i], "bin": bins[keep], "n": n[keep]}))
+                    out.append(pd.DataFrame({"q": numbers[i], "bin": bins[keep], "n": n[keep]}))
                 if out:
                     yield pd.concat(out)
 
@@ -99,11 +100,11 @@ def _winners(k: int, exact_float: bool):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 q_ids, c_ids, s = _scores(row, exact_float)
-                low, out = np.frombuffer(row.q_low, np.int64), []
+                low, numbers, out = np.frombuffer(row.q_low, np.int64), np.frombuffer(row.q_q, np.int64), []
                 for i in range(len(q_ids)):
                     at = np.nonzero((s[i] >= low[i]) & (c_ids != q_ids[i]))[0]
                     at = at[np.lexsort((c_ids[at], -s[i][at]))[:k]]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": c_ids[at], "score": s[i][at]}))
+                    out.append(pd.DataFrame({"q": numbers[i], "query_id": q_ids[i], "vec_id": c_ids[at], "score": s[i][at]}))
                 yield pd.concat(out)
 
     return run
@@ -120,12 +121,13 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query row with other rows.
 
-    A query's own row is the one with its id; ids that repeat count as one vector each, and a query never meets its
-    own id. Vectors that can't take part (see ``quantised``) are neither queries nor candidates. Vectors of different
+    A query never meets rows of its own id. Candidates that repeat an id are vectors of their own, and so are queries:
+    each repeated query row gets its own k rows. Vectors that can't take part (see ``quantised``) are neither queries nor candidates. Vectors of different
     lengths are compared over the shorter one. Queries with fewer than k candidates get all. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    candidates, wanted = quantised(vectors, id_col, vector_col), quantised(queries, id_col, vector_col)
+    candidates = quantised(vectors, id_col, vector_col)
+    wanted = durable(quantised(queries, id_col, vector_col).withColumn("q", F.monotonically_increasing_id()))
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.max(square(F.col("v"))).alias("square"), F.max(F.size("v")).alias("dim")).first()
     c, q = facts(candidates), facts(wanted)
@@ -137,7 +139,7 @@ def top_k(
     packed = durable(_blocks(candidates, "c", c_blocks, candidate_block))
     first = int(-(-(2 * bound + 1) // BINS))
     state = wanted.select(
-        "id", "v", F.lit(-bound).cast("long").alias("low"), F.lit(first).cast("long").alias("width"), F.lit(k).cast("long").alias("need"), F.lit(first * BINS).cast("long").alias("span")
+        "q", "id", "v", F.lit(-bound).cast("long").alias("low"), F.lit(first).cast("long").alias("width"), F.lit(k).cast("long").alias("need"), F.lit(first * BINS).cast("long").alias("span")
     )
     widths = [first]
     while widths[-1] > 1:
@@ -145,19 +147,20 @@ def top_k(
     grid = F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
 
     def paired(state: DataFrame) -> DataFrame:
-        blocks = _blocks(state, "q", q_blocks, query_block, ("low", "width", "need", "span")).withColumn("c_block", grid)
+        blocks = _blocks(state, "q", q_blocks, query_block, ("q", "low", "width", "need", "span")).withColumn("c_block", grid)
         return blocks.join(packed, "c_block")
 
     for width, finer in zip(widths, [*widths[1:], 0]):
-        counts = paired(state).mapInPandas(_histograms(k, exact), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("id").orderBy(F.desc("bin"))
+        counts = paired(state).mapInPandas(_histograms(k, exact), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("q").orderBy(F.desc("bin"))
         ranked = counts.withColumn("upto", F.sum("n").over(down))
-        place = ranked.join(state.select("id", "need"), "id")
+        place = ranked.join(state.select("q", "need"), "q")
         # the highest bin by which the need is met; with fewer scores than needed the range stays, and all are taken
         met = F.col("upto") >= F.col("need")
-        chosen = place.where(met).groupBy("id").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("over"))).alias("hit"))
+        chosen = place.where(met).groupBy("q").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("over"))).alias("hit"))
         state = durable(
-            state.join(chosen, "id", "left").select(
+            state.join(chosen, "q", "left").select(
+                "q",
                 "id",
                 "v",
                 (F.col("low") + F.coalesce("hit.bin", F.lit(0)) * width).alias("low"),
@@ -166,6 +169,6 @@ def top_k(
                 F.lit(width).cast("long").alias("span"),
             )
         )
-    found = paired(state).mapInPandas(_winners(k, exact), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = paired(state).mapInPandas(_winners(k, exact), "q long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
