@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, topk, toxicity
+from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, topk, toxicity, whitening
 from .common import id_fold, table
 
 
@@ -131,6 +131,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
@@ -142,5 +146,6 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op12_whitening": op12_whitening,
 }
 SQL = {"op2_chat_format": OP2_SQL, "op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
