@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, topk, toxicity, whitening
+from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, spelling, topk, toxicity, whitening
 from .common import id_fold, table
 
 
@@ -131,6 +131,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table of 256 numbers; words at one edit share what is left without a letter, or with a hole for it.
+OP11_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS x FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE len(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(key, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)),
+    lambda a, b: xor(a // 256, t[1 + xor(a, b) % 256]))) AS h FROM runs, tab),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, left(word, i - 1) || '?' || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+pick AS (SELECT word, n_near, m, min(other) AS other FROM best JOIN near USING (word, m) GROUP BY ALL),
+f AS MATERIALIZED (SELECT w.word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN pick USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN chain USING (word) JOIN f AS g ON g.word = chain.root WHERE g.form IS NULL
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(table(spark, sf_dir, "embeddings"))
 
@@ -146,6 +177,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op11_spelling": OP11_SQL}
