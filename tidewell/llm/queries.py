@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, line_dedup, lm, packing, simhash, spelling, topk, toxicity, whitening
+from . import bpe, chat, exact_dedup, language, license_scan, line_dedup, lm, packing, simhash, spelling, topk, toxicity, whitening
 from .common import id_fold, table
 
 
@@ -166,6 +166,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, held_out=language.in_fold())
+    return language.predict(docs, model).select("doc_id", language.in_fold().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
@@ -179,5 +185,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
+    "op13_language": op13_language,
 }
 SQL = {"op2_chat_format": OP2_SQL, "op3_topk": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op11_spelling": OP11_SQL}
