@@ -2,135 +2,147 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.config import LEAD_HEADINGS
 from tidewell.functions import text as texts
 
-#: What a link, a span of code and a list item look like. Fixed values.
-LINK = re.compile(r'(!?)\[[^\]]*\]\(\s*<?([^)\s>]+)>?(?:\s+"[^"]*")?\s*\)')
-SPAN = re.compile(r"`+[^`]*`+")
-ITEM = re.compile(r"^ {0,3}([-*+]|\d+[.)])(\s|$)")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$", re.S)
-HEADING = re.compile(r"(#{1,2})(?!#)(?:[ \t](.*))?$", re.S)
-COMMIT = re.compile(r"(?=.*\d)[0-9a-f]{7,40}$")
-PATH = re.compile(r"(?!.*\.\.)(\./|[A-Za-z0-9_])[A-Za-z0-9._/-]*$")
-EXTENSION = re.compile(r"\.(?=[^./]*[A-Za-z])[A-Za-z0-9_-]{1,5}$")
-
-STRUCTURE = (
-    "first int, titles array<struct<line:int,text:string>>, sections array<struct<heading:string,line:int,filled:boolean,fences:array<int>>>, "
-    "fences array<struct<line:int,lang:string>>, code array<int>, links array<struct<line:int,target:string,image:boolean>>, "
-    "anchors array<struct<kind:string,name:string>>"
-)
-
-
-def _roles(body: str) -> Iterator[tuple[int, str, str]]:
-    """(number, role, line): ``open`` and ``fenced`` lines, indented ``code`` outside lists, ``blank`` lines and ``prose``."""
-    lines = body.split("\n")
-    fence, listed, may_indent = "", False, True
-    for n, line in enumerate(lines[:-1] if lines[-1] == "" else lines, 1):
-        line = line.removesuffix("\r")
-        mark = FENCE.match(line)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
-                fence = ""
-            may_indent = False
-            yield n, "fenced", line
-            continue
-        indented = line.startswith(("    ", "\t"))
-        if line.strip() and indented and not listed and may_indent:
-            yield n, "code", line
-            continue
-        if mark:
-            fence, may_indent = mark[1], False
-            yield n, "open", mark[2].strip()
-            continue
-        may_indent = not line.strip()
-        if ITEM.match(line):
-            listed = True
-        elif line.strip() and not indented:
-            listed = False
-        yield n, "prose" if line.strip() else "blank", line
-
-
-def anchor(code: str) -> tuple[str, str] | None:
-    """What a span of code names: a commit, a relative path, or nothing."""
-    name = code.strip("`").strip()
-    if COMMIT.match(name):
-        return "commit", name
-    if PATH.match(name) and ("/" in name or EXTENSION.search(name)):
-        return "path", re.sub(r"^(\./)+", "", name)
-    return None
-
-
-def structure_of(body: str | None) -> dict:
-    out = {"first": None, "titles": [], "sections": [], "fences": [], "code": [], "links": [], "anchors": []}
-    for n, role, line in _roles(body or ""):
-        if role != "blank" and out["first"] is None:
-            out["first"] = n
-        section = out["sections"][-1] if out["sections"] else None
-        if section and role in ("open", "prose"):
-            section["filled"] = True
-        if role == "code":
-            out["code"].append(n)
-        elif role == "open":
-            if section:
-                section["fences"].append(len(out["fences"]))
-            out["fences"].append({"line": n, "lang": (line.split() or [""])[0]})
-        elif role == "prose":
-            if h := HEADING.match(line):
-                words = (h[2] or "").strip().rstrip("#").strip()
-                if len(h[1]) == 1:
-                    out["titles"].append({"line": n, "text": words})
-                else:
-                    out["sections"].append({"heading": words, "line": n, "filled": False, "fences": []})
-            out["links"] += [{"line": n, "target": m[2], "image": bool(m[1])} for m in LINK.finditer(SPAN.sub("", line))]
-        if role in ("prose", "code"):
-            found = [a for a in map(anchor, SPAN.findall(line)) if a]
-            out["anchors"] += [{"kind": k, "name": v} for k, v in found if {"kind": k, "name": v} not in out["anchors"]]
-    return out
-
-
-def _structures(body: pd.Series) -> pd.Series:
-    return body.map(lambda t: json.dumps(structure_of(t)))
-
-
-def structure(body: Column) -> Column:
+#: What a link, a span of code, a list item, a heading and a name in code look like. Fixed values.
+LINK = r'(?U)(!?)\[[^\]]*\]\(\s*<?([^)\s>]+)>?(?:\s+"[^"]*")?\s*\)'
+SPAN = r"`+[^`]*`+"
+ITEM = r"(?U)^ {0,3}([-*+]|\d+[.)])(\s|$)"
+HEADING = r"(?s)^(#{1,2})(?!#)(?:[ \t](.*))?$"
+COMMIT = r"^(?=.*[0-9])[0-9a-f]{7,40}$"
+PATH = r"^(?!.*\.\.)(\./|[A-Za-z0-9_])[A-Za-z0-9._/-]*$"
+EXTENSION = r"\.(?=[^./]*[A-Za-z])[A-Za-z0-9_-]{1,5}$"
+
+#: A unit of a body whose lines are numbered: a fenced block with its lines up to one that closes it (at least as many
+#: of the same marks and nothing else) or to the end, or any other line.
+UNIT = r"(?md)^\d+\t {0,3}((`|~)\2{2,})[^\n]*(?s:.*?)(?:\n\d+\t {0,3}\1\2*(?U:[^\S\n]*)$|\z)|^[^\n]+$"
+#: Words of the kinds of units, one letter each: fenced block, blank line, indented line, list item, other text. An
+#: indented line after an item belongs to the list until other text comes; else it is code after a blank line, code or
+#: nothing.
+IN_LIST, CODE = (r"(I[BF]*|\G(?!^)[BF]*)D", "$1d"), (r"(^|B|\G(?!^))D", "$1C")
+
+PARTS = ("first", "titles", "sections", "fences", "code", "links", "anchors")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def units(body: Column) -> Column:
+    """array of (n, kind, raw): the units of a body in order with the number of their first line (from 1), their letter
+    (``F``, ``B``, ``I``, ``T``; ``C`` for code and ``d`` for indented lines that aren't) and their lines as they are."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"\n\z", "")
+    numbered = F.array_join(F.transform(F.split(text, "\n", -1), lambda x, k: F.concat((k + 1).cast("string"), F.lit("\t"), x)), "\n")
+    cut = F.transform(
+        F.regexp_extract_all(numbered, F.lit(UNIT), F.lit(0)),
+        lambda u: F.struct(F.substring_index(u, "\t", 1).cast("int").alias("n"), F.regexp_replace(u, r"(?md)^\d+\t", "").alias("raw")),
+    )
+
+    def letter(raw: Column) -> Column:
+        kind = F.when(raw.rlike(r"^ {0,3}(```|~~~)"), "F").when(raw.rlike(r"(?U)^\s*$"), "B").when(raw.rlike(r"^(    |\t)"), "D")
+        return kind.when(raw.rlike(ITEM), "I").otherwise("T")
+
+    def placed(found: Column) -> Column:
+        word = F.array_join(F.transform(found, lambda u: letter(u["raw"])), "")
+        letters = F.split(F.regexp_replace(F.regexp_replace(word, *map(F.lit, IN_LIST)), *map(F.lit, CODE)), "")
+        return bound(letters, lambda x: F.transform(found, lambda u, k: F.struct(u["n"].alias("n"), F.when(F.get(x, k) == "D", "d").otherwise(F.get(x, k)).alias("kind"), u["raw"].alias("raw"))))
+
+    return bound(cut, placed)
+
+
+def _line(unit: Column) -> Column:
+    """The first line of a unit, without the end that it may have of another system."""
+    return F.regexp_replace(F.substring_index(unit["raw"], "\n", 1), r"\r\z", "")
+
+
+def _prose(unit: Column) -> Column:
+    return unit["kind"].isin("I", "T", "d")
+
+
+def anchor(span: Column) -> Column:
+    """What a span of code names: (kind, name) of a commit or a relative path, or null."""
+    name = F.regexp_replace(span, r"(?U)^`+\s*|\s*`+$", "")
+    path = name.rlike(PATH) & (name.contains("/") | name.rlike(EXTENSION))
+    shown = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("name"))
+    return F.when(name.rlike(COMMIT), shown("commit", name)).when(path, shown("path", F.regexp_replace(name, r"^(\./)+", "")))
+
+
+def structure(body: Column, *only: str) -> Column:
     """``first`` line with text, ``titles`` (H1), ``sections`` (H2), ``fences``, lines of indented ``code``, ``links`` and
-    ``anchors`` (paths and commits named in code), lines counted from 1. A line-by-line state: fences and lists decide
-    what a line is, which has no equivalent among the built-in functions."""
-    return F.from_json(F.pandas_udf(_structures, "string")(body), STRUCTURE)
+    ``anchors`` (paths and commits named in code), or ``only`` some of these; lines are counted from 1.
 
+    A section is filled if text or a fence comes after its heading; a heading is text of the section before it.
+    """
+
+    def parts(found: Column) -> Column:
+        prose = F.filter(found, _prose)
+        heads = F.filter(F.transform(prose, lambda u: F.struct(u["n"].alias("line"), _line(u).alias("text"))), lambda x: x["text"].rlike(HEADING))
+        level = lambda k: F.filter(heads, lambda x: F.char_length(F.regexp_extract(x["text"], HEADING, 1)) == k)
+        words = lambda x: texts.trimmed(F.regexp_replace(texts.trimmed(F.regexp_extract(x["text"], HEADING, 2)), "#+$", ""))
+        blocks = F.filter(found, lambda u: u["kind"] == "F")
+        last = F.coalesce(F.array_max(F.transform(F.filter(found, lambda u: _prose(u) | (u["kind"] == "F")), lambda u: u["n"])), F.lit(0))
+
+        def sections() -> Column:
+            starts = level(2)
+
+            def one(x: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1)["line"], F.lit(1 << 30))
+                within = F.filter(F.transform(blocks, lambda u, j: F.struct(u["n"].alias("n"), j.alias("j"))), lambda f: (f["n"] > x["line"]) & (f["n"] < end))
+                return F.struct(words(x).alias("heading"), x["line"].alias("line"), (last > x["line"]).alias("filled"), F.transform(within, lambda f: f["j"]).alias("fences"))
+
+            return F.transform(starts, one)
+
+        def links() -> Column:
+            of = lambda u: F.transform(
+                F.regexp_extract_all(F.regexp_replace(_line(u), SPAN, ""), F.lit(LINK), F.lit(0)),
+                lambda m: F.struct(u["n"].alias("line"), F.regexp_extract(m, LINK, 2).alias("target"), m.startswith("!").alias("image")),
+            )
+            return F.flatten(F.transform(prose, of))
 
-def rewritten_text(body: str, links: dict[str, str]) -> str:
-    """A body with the targets of links replaced, by line number and old target; links in code stay."""
-    lines = body.split("\n")
-    for n, role, _ in list(_roles(body)):
-        if role == "prose":
-            pieces, at = [], 0
-            for m in [*SPAN.finditer(lines[n - 1]), None]:
-                prose = lines[n - 1][at : m.start() if m else None]
-                pieces.append(LINK.sub(lambda x, n=n: x[0][: x.start(2) - x.start()] + links.get(f"{n} {x[2]}", x[2]) + x[0][x.end(2) - x.start() :], prose))
-                if m:
-                    pieces.append(m[0])
-                    at = m.end()
-            lines[n - 1] = "".join(pieces)
-    return "\n".join(lines)
+        def anchors() -> Column:
+            spans = F.flatten(F.transform(F.filter(found, lambda u: _prose(u) | (u["kind"] == "C")), lambda u: F.regexp_extract_all(_line(u), F.lit(SPAN), F.lit(0))))
+            return F.array_distinct(F.filter(F.transform(spans, anchor), lambda a: a.isNotNull()))
 
+        made = {
+            "first": lambda: F.get(F.filter(found, lambda u: u["kind"] != "B"), F.lit(0))["n"],
+            "titles": lambda: F.transform(level(1), lambda x: F.struct(x["line"].alias("line"), words(x).alias("text"))),
+            "sections": sections,
+            "fences": lambda: F.transform(blocks, lambda u: F.struct(u["n"].alias("line"), F.regexp_extract(_line(u), r"(?U)^ {0,3}(?:`+|~+)\s*(\S*)", 1).alias("lang"))),
+            "code": lambda: F.transform(F.filter(found, lambda u: u["kind"] == "C"), lambda u: u["n"]),
+            "links": links,
+            "anchors": anchors,
+        }
+        return F.struct(*[made[p]().alias(p) for p in only or PARTS])
 
-def _rewritten(bodies: pd.Series, links: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else rewritten_text(b, json.loads(x)) if x else b for b, x in zip(bodies, links)])
+    return bound(units(body), parts)
+
+
+#: What a line of prose is made of when links are rewritten: links, spans of code, and what is between.
+PIECE = LINK + "|" + SPAN + r"|[^\[!`]+|(?s:.)"
 
 
 def rewritten(body: Column, links: Column) -> Column:
-    """``body`` with the targets of links replaced; ``links`` is a JSON object from "line target" to the new target."""
-    return F.pandas_udf(_rewritten, "string")(body, links)
+    """``body`` with the targets of links replaced; ``links`` maps "line target" to the new target. Links in code stay."""
+
+    def piece(m: Column, n: Column) -> Column:
+        target = F.regexp_extract(m, LINK, 2)
+        new = F.get(F.filter(F.map_values(F.map_filter(links, lambda k, _: k == F.concat(n.cast("string"), F.lit(" "), target))), lambda v: v.isNotNull()), F.lit(0))
+        begin = F.regexp_extract(m, r"(?U)^!?\[[^\]]*\]\(\s*<?", 0)
+        rest = F.substr(m, F.char_length(begin) + F.char_length(target) + 1)
+        return F.when(m.rlike("^!?\\[") & (target != "") & new.isNotNull(), F.concat(begin, new, rest)).otherwise(m)
+
+    def line(u: Column) -> Column:
+        return F.when(_prose(u), F.array_join(F.transform(F.regexp_extract_all(u["raw"], F.lit(PIECE), F.lit(0)), lambda m: piece(m, u["n"])), "")).otherwise(u["raw"])
+
+    whole = F.array_join(F.transform(units(body), line), "\n")
+    return F.when(links.isNull(), body).otherwise(F.concat(whole, F.regexp_extract(body, r"\n?\z", 0)))
 
 
 def title(found: Column, otherwise: Column) -> Column:

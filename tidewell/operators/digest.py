@@ -151,54 +151,42 @@ def representatives(items: DataFrame) -> DataFrame:
     return alone.union(rows.select("cluster", "item", "place", "signatures").groupBy("cluster").applyInPandas(choose, f"item {kind}"))
 
 
-def focused(body: str, most: int, at: int | None = None, around: int = 2, around_match: int = 5) -> str:
-    """The part of an item that matters most, in at most ``most`` whole lines: what stands around failures, their output
-    and what then worked, the latest first, after the lines around line ``at`` (from 1); gaps are marked."""
-    lines = body.split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
-    if len(lines) <= most:
-        return body
-    end = len(lines) - 1
-    spans: list[list[int]] = []
-    for k, line in enumerate(lines):
-        if line.startswith(("[command failed", "[command worked]", "[tool output]")):
-            stop = k
-            while line.startswith("[tool output]") and stop < end and lines[stop + 1].startswith("  "):
-                stop += 1
-            low, high = max(0, k - around), min(end, stop + around)
-            if spans and low <= spans[-1][1] + 1:
-                spans[-1][1] = max(spans[-1][1], high)
-            else:
-                spans.append([low, high])
-    spans = spans or [[len(lines) - most, end]]
-    wanted = [[max(0, at - 1 - around_match), min(end, at - 1 + around_match)]] if at and 1 <= at <= len(lines) else []
-    kept: set[int] = set()
-    gaps = -1  # one less than the number of blocks
-    for k in (k for low, high in [*wanted, *reversed(spans)] for k in range(high, low - 1, -1)):
-        if k in kept:
-            continue
-        after = gaps + 1 - (k - 1 in kept) - (k + 1 in kept)
-        if len(kept) + 1 + max(after, 0) > most:
-            break
-        kept.add(k)
-        gaps = after
-    out: list[str] = []
-    for k in sorted(kept):
-        if out and k - 1 not in kept:
-            out.append(GAP)
-        out.append(lines[k])
-    return "\n".join(out)
-
-
-def focus(body: Column, most: int) -> Column:
-    """``focused`` for a column; which lines fit depends on those taken before."""
-
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else focused(b, most))
-
-    return run(body)
+#: How a line begins that tells of a command, and the one after which its output stands set in. Fixed values.
+MARKS, OUTPUT = ("[command failed", "[command worked]", "[tool output]"), "[tool output]"
+
+
+def focus_views(items: DataFrame, most: int, around: int = 2, around_match: int = 5) -> DataFrame:
+    """``id, view``: of each item (``id, body``, and ``at``, the number of a line, if there is such a column) what matters
+    most, in at most ``most`` lines: lines near ``at``, then those near commands and their output, the last ones first;
+    without any of these the end. Gaps are marked and count as lines. Items that fit are whole.
+
+    Lines are ranked, and a window adds up what each costs after those before it: itself and a gap, less one gap for
+    each neighbour that is there already. Ids are distinct.
+    """
+    rows = items if "at" in items.columns else items.withColumn("at", F.lit(None).cast("int"))
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"\n\z", "")
+    lines = rows.select("id", "at", F.posexplode(F.split(body, "\n", -1)).alias("k", "line"))
+    item, down = Window.partitionBy("id"), Window.partitionBy("id").orderBy("k")
+    mark = F.greatest(*[F.col("line").startswith(m) for m in MARKS])
+    set_in = F.col("line").startswith("  ")
+    owner = F.last(F.when(~set_in, F.col("line")), ignorenulls=True).over(down)
+    core = mark | (set_in & F.coalesce(owner.startswith(OUTPUT), F.lit(False)))
+    near = F.max("core").over(down.rowsBetween(-around, around))
+    asked = F.col("at").between(1, F.col("n")) & (F.abs(F.col("k") + 1 - F.col("at")) <= around_match)
+    seen = lines.withColumn("n", F.count(F.lit(1)).over(item)).withColumn("core", core).withColumn("near", near).withColumn("asked", F.coalesce(asked, F.lit(False)))
+    chosen = F.when(F.max("near").over(item), F.col("near")).otherwise(F.col("k") >= F.col("n") - most)
+    listed = seen.withColumn("chosen", chosen).where("n > " + str(int(most)) + " AND (chosen OR asked)")
+    ranked = listed.withColumn("rank", F.row_number().over(item.orderBy(F.desc("asked"), F.desc("k"))))
+    beside = lambda step: F.coalesce((F.max(F.struct("k", "rank")).over(down.rowsBetween(step, step))), F.struct(F.lit(-9).alias("k"), F.lit(0).alias("rank")))
+    joined = lambda step: ((beside(step)["k"] == F.col("k") + step) & (beside(step)["rank"] < F.col("rank"))).cast("int")
+    costs = ranked.withColumn("cost", 2 - joined(-1) - joined(1))
+    by_rank = item.orderBy("rank")
+    total = costs.withColumn("total", F.sum("cost").over(by_rank) - 1)
+    kept = total.withColumn("worst", F.max("total").over(by_rank)).where(F.col("worst") <= most)
+    gap = F.coalesce(F.lag("k").over(down) != F.col("k") - 1, F.lit(False))
+    shown = kept.select("id", "k", F.when(gap, F.concat(F.lit(GAP + "\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    views = shown.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("view"))
+    return rows.join(views, "id", "left").select("id", F.when(F.size(F.split(body, "\n", -1)) <= most, F.col("body")).otherwise(F.coalesce("view", F.lit(""))).alias("view"))
 
 
 ANSWER = r"(?i)^\s*[-*]?\s*\[?(\d+)\]?\s*[:.)\-]?\s*(keep|drop)\b[\s:,\-]*(.*)$"
@@ -224,7 +212,7 @@ def heading_order(records: DataFrame, required: DataFrame) -> DataFrame:
 
     ``records``: ``id, type, body``; ``required``: ``type, heading, pos``.
     """
-    found = records.select("id", "type", F.explode(markdown.structure(F.col("body"))["sections"]).alias("s")).select("id", "type", "s.heading", "s.line")
+    found = records.select("id", "type", F.explode(markdown.structure(F.col("body"), "sections")["sections"]).alias("s")).select("id", "type", "s.heading", "s.line")
     placed = found.groupBy("id", "type", "heading").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).where("n = 1").join(F.broadcast(required), ["type", "heading"])
     w = Window.partitionBy("id").orderBy("pos")
     return placed.withColumn("before", F.lag("heading").over(w)).withColumn("prev", F.lag("line").over(w)).where("line < prev").select("id", "heading", "before")
