@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.config import REMEMBER, STOP_WORDS, VOLATILE, VOLATILE_MAX_WORDS
 from tidewell.functions import text, versions
-from tidewell.operators import conditions, evaluation, leaks, review, search, sessions, similarity, triage, usage
+from tidewell.operators import conditions, evaluation, index, leaks, review, search, sessions, similarity, triage, usage
 from tidewell.plans.lineage import durable
 from tidewell.plans.registry import QUERIES, SQL, query, table
 
@@ -133,7 +133,8 @@ def _benchmark(spark, sf_dir):
 
 @query("ranked_search", f"WITH {LESSONS}, {BM25} SELECT query_id, rank, id, score FROM rk WHERE rank <= 10")
 def ranked_search(spark, sf_dir):
-    return search.rank(lessons(spark, sf_dir).select("id", "title", "body"), _benchmark(spark, sf_dir), limit=10, expand=False)
+    held = index.kept(lessons(spark, sf_dir).select("id", "title", "body"))
+    return index.top_k(held, _benchmark(spark, sf_dir), k=10, expand=False)
 
 
 @query(

@@ -20,5 +20,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Bytes for each core up to which a table is dealt to all cores; a larger one has splits enough.
+SPREAD_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that is so small that its scan would be a task or two is dealt to all cores."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES:
+        return read.repartition(cores)
+    return read
