@@ -73,12 +73,13 @@ def _distance(a, b):
 
 
 def _without_repeated_lines(rows):
-    """Brute force: classes of lines within two edits (of 20 characters on), the first of each stays."""
+    """Brute force: classes of lines within two edits and a tenth of the longer, the first of each stays."""
     lines = sorted({line for _, t in rows for line in (t or "").split("\n") if line.strip(" ")})
     root = {x: x for x in lines}
     for a in lines:
         for b in lines:
-            if a < b and min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and root[a] != root[b] and _distance(a, b) <= 2:
+            allowed = min(2, max(len(a), len(b)) // 10)
+            if a < b and abs(len(a) - len(b)) <= allowed and root[a] != root[b] and _distance(a, b) <= allowed:
                 keep, gone = root[a], root[b]
                 root = {k: keep if v == gone else v for k, v in root.items()}
     first = {}
