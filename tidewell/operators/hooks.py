@@ -145,3 +145,49 @@ def captures(records: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame
     kept = each.where(F.size("signals") > 0).join(left, "session", "left").where("signatures IS NULL OR size(signatures) > 0")
     priority = F.greatest(F.lit(1), F.least(F.lit(3), F.col("score"))).cast("int")
     return kept.select("session", "signals", F.coalesce("signatures", F.array().cast("array<string>")).alias("signatures"), priority.alias("priority"))
+
+
+def pushes_in_order(events: DataFrame) -> DataFrame:
+    """``session, seq, id, explore``: what is pushed when a session's ``eligible`` hits (``session, seq, id, tier``) come
+    one after another: a record once, and one candidate.
+
+    The candidate is the session's first whose record no proven hit came before; a proven hit is pushed if it is its
+    record's first and the candidate wasn't that record.
+    """
+    rows = events.where("eligible AND id IS NOT NULL AND tier IN ('proven', 'candidate')")
+    proven = F.col("tier") == "proven"
+    first = rows.withColumn("first", F.min(F.when(proven, F.col("seq"))).over(Window.partitionBy("session", "id")))
+    open_ = ~proven & (F.col("first").isNull() | (F.col("first") > F.col("seq")))
+    chosen = first.withColumn("chosen", F.min(F.when(open_, F.struct("seq", "id"))).over(Window.partitionBy("session")))
+    explore = ~proven & (F.col("chosen.seq") == F.col("seq"))
+    told = (F.col("chosen.id") == F.col("id")) & (F.col("chosen.seq") < F.col("seq"))
+    kept = chosen.where(F.coalesce(explore, F.lit(False)) | (proven & (F.col("seq") == F.col("first")) & ~F.coalesce(told, F.lit(False))))
+    return kept.select("session", "seq", "id", (~proven).alias("explore"))
+
+
+def session_gates(events: DataFrame) -> DataFrame:
+    """``session, seq, gate, program, id, explore, score, decision, signals``: all gates of finished logs of sessions, as
+    ``streaming.gates`` gives them event by event. ``events``: the columns of its ``EVENTS``; sequence numbers of a
+    session are distinct, from 1."""
+    fixed = sessions.fixes(events.where("program IS NOT NULL")).where("fixed").select("session", "program", "seq", "island")
+    once = once_records(events.where("kind = 'failed' AND program IS NOT NULL").withColumns({"seen": F.coalesce("seen", F.lit(False)), "answered": F.coalesce("answered", F.lit(True))}))
+    push = pushes_in_order(events).join(events.select("session", "seq", "program"), ["session", "seq"])
+    # a pushed record waits for the next fix of its program; the first such fix infers it
+    waits = push.where("program IS NOT NULL").join(fixed.select("session", "program", F.col("seq").alias("at")), ["session", "program"]).where("at > seq")
+    inferred = waits.groupBy("session", "program", "id", "seq").agg(F.min("at").alias("at")).groupBy("session", "id").agg(F.min(F.struct("at", "program")).alias("x"))
+    log = events.select("session", "seq", "kind", "program", "upto").union(fixed.select("session", "seq", F.lit("fixed"), "program", F.lit(None).cast("long")))
+    log = log.union(once.select("session", "seq", "kind", "program", F.lit(None).cast("long")))
+    asof = lambda kind: (
+        events.where(F.col("kind") == kind).select("session", F.col("seq").alias("at")).join(log, "session").where("seq <= at").withColumn("session", F.struct("session", "at"))
+    )
+    stop = stop_decision(asof("stop"))
+    none = asof("end").select("session", F.lit(None).cast("string").alias("sig")).where("false")
+    captured = captures(asof("end"), none, none.select("sig"))
+    text_, long_, flag = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("boolean")
+    list_ = F.lit(None).cast("array<string>")
+    found = fixed.select("session", "seq", F.lit("fixed").alias("gate"), "program", text_.alias("id"), flag.alias("explore"), long_.alias("score"), text_.alias("decision"), list_.alias("signals"))
+    found = found.union(once.select("session", "seq", "kind", "program", text_, flag, long_, text_, list_))
+    found = found.union(inferred.select("session", "x.at", F.lit("inferred"), "x.program", "id", flag, long_, text_, list_))
+    found = found.union(push.select("session", "seq", F.lit("push"), "program", "id", "explore", long_, text_, list_))
+    found = found.union(stop.select("session.session", "session.at", F.lit("stop"), text_, text_, flag, "score", "decision", list_))
+    return found.union(captured.select("session.session", "session.at", F.lit("capture"), text_, text_, flag, F.col("priority").cast("long"), text_, "signals"))

@@ -3,6 +3,8 @@ as session and use logs; the expressions that say so are the same in Spark and i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from tidewell.config import Ranking
 from tidewell.functions import markdown, text
 from tidewell.operators import conditions, digest, full_search, graph, hooks, lint, reports, sessions, similarity, triage, usage, writes
 from tidewell.plans.queries import COUNTS
-from tidewell.plans.registry import QUERIES, SQL, query, table
+from tidewell.plans.lineage import shared_folder
+from tidewell.plans.registry import QUERIES, SQL, query, stream, table
+from tidewell.streaming import gates
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -617,6 +621,27 @@ def seen_before(spark, sf_dir):
     return _failures(spark, sf_dir).select("seq", "seen")
 
 
+@query("seen_before_streamed", f"WITH {LOGGED}, {SEEN} SELECT seq, seen FROM b")
+def seen_before_streamed(spark, sf_dir):
+    rows = stream(spark, sf_dir, "events").selectExpr(*SESSION).where("kind = 'failed'")
+    return gates.run_to_end(gates.seen_before(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").select("seq", "seen")
+
+
+#: Logged events as what the gates read: fixes as successes, injections as prompts with a hit.
+GATED = [
+    "session", "seq + 1 AS seq", "CASE kind WHEN 'fixed' THEN 'ok' WHEN 'injected' THEN 'prompt' WHEN 'inferred' THEN 'stop' WHEN 'nudged' THEN CASE WHEN seq % 2 = 0 THEN 'end' ELSE kind END ELSE kind END AS kind", "CASE WHEN kind IN ('failed', 'fixed') THEN program END AS program",
+    "CASE WHEN kind IN ('failed', 'injected') THEN id END AS id", "CASE seq % 3 WHEN 0 THEN 'proven' WHEN 1 THEN 'candidate' ELSE 'archive' END AS tier", "seq % 4 <> 0 AS eligible", "seq % 5 = 0 AS seen",
+    "seq % 4 = 1 AS answered", "CASE WHEN kind = 'offered' THEN seq - 40 END AS upto", "timestamp_seconds(1700000000 + time) AS ts",
+]
+
+
+# no SQL: the question at each stop looks at all that came before; a test compares with the batch operators
+@query("session_gates_streamed")
+def session_gates_streamed(spark, sf_dir):
+    rows = stream(spark, sf_dir, "events").selectExpr(*SESSION).selectExpr(*GATED)
+    return gates.run_to_end(gates.session_gates(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
 @query(
     "repeats_and_nohits",
     f"""WITH {LOGGED}, {SEEN}, k AS (SELECT session, program, 'repeat' AS kind, seq FROM b WHERE seen UNION ALL SELECT session, program, 'nohit', seq FROM b WHERE seq % 4 <> 1) SELECT session, program, kind, min(seq) AS seq FROM k GROUP BY ALL""",

@@ -31,3 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in ("documents", "pages") and int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES:
         return read.repartition(cores)
     return read
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. Its path is written as a pattern, for a stream takes no path of a single file."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
