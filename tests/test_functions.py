@@ -1,3 +1,6 @@
+import functools
+import random
+
 from pyspark.sql import functions as F
 from tidewell.functions import edits, text, versions
 
@@ -21,11 +24,47 @@ def test_tokens(spark):
     assert spark.createDataFrame([(None,)], "t string").select(text.tokens(F.col("t")).alias("x")).first().x is None
 
 
-def test_swap_distance():
-    assert edits.swap_distance("cmkae", "cmake") == 1
-    assert edits.swap_distance("abc", "abd") == 1
-    assert edits.swap_distance("", "") == 0
-    assert edits.swap_distance("ca", "abc") == 3
+def swap_distance(a, b):
+    """By trying: the least over all ways to go on from the ends of both."""
+
+    @functools.cache
+    def of(i, j):
+        if not i or not j:
+            return i + j
+        ways = [of(i - 1, j) + 1, of(i, j - 1) + 1, of(i - 1, j - 1) + (a[i - 1] != b[j - 1])]
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            ways.append(of(i - 2, j - 2) + 1)
+        return min(ways)
+
+    return of(len(a), len(b))
+
+
+def _random_words(seed, n):
+    pick = random.Random(seed)
+    return ["", "cmkae", "cmake", "abc", "ca", "é🙂a", *["".join(pick.choice("abcé") for _ in range(pick.randint(0, 10))) for _ in range(n)]]
+
+
+def test_swap_distance(spark):
+    assert (swap_distance("cmkae", "cmake"), swap_distance("ca", "abc")) == (1, 3)
+    words = _random_words(41, 40)
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in df.select("a", "b", edits.distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert r.d == swap_distance(r.a, r.b), r
+    assert one(spark, edits.distance(F.col("a"), F.lit("x")), a=None) is None
+    plan = df.select(edits.distance(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_near_words_equal_brute_force(spark):
+    from tidewell.operators import search
+
+    words, terms = sorted(set(_random_words(42, 600))), sorted(set(_random_words(43, 80)))
+    reach = lambda t: 0 if len(t) <= 3 else 1 if len(t) <= 7 else 2
+    want = {(t, w, d) for t in terms if reach(t) for w in words if len(w) >= 1 and (d := swap_distance(t, w)) <= reach(t)}
+    table = lambda x: spark.createDataFrame([(w,) for w in x], "term string")
+    found = search.near_words(table(terms), table(words)).collect()
+    assert len(want) > 100 and len(found) == len(want) and {tuple(r) for r in found} == want
+    assert search.near_candidates(table(terms), table(words)).count() <= 10 * len(want)
 
 
 def test_program_and_key_lines(spark):

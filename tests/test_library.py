@@ -133,7 +133,7 @@ def test_message_dialect(spark):
     ]
 
 
-def test_files_logs_and_tails(spark, tmp_path):
+def test_files_and_logs(spark, tmp_path):
     for rel, content in {"general/t/a.md": "x", "general/t/build/b.md": "x", "general/t/a.assets/p.png": "x", ".hid/c.md": "x", "kb.toml": "#", "other/d.md": "x"}.items():
         (tmp_path / "kb" / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "kb" / rel).write_text(content)
@@ -141,12 +141,6 @@ def test_files_logs_and_tails(spark, tmp_path):
     assert {r.path for r in found.collect()} == {"general/t/a.md", "general/t/a.assets/p.png", "kb.toml"}
     roles = spark.createDataFrame([("general/README.md",), ("projects/p/README.md",), ("general/t/README.md",), ("systems/s/t/README.md",), ("general/a/b/README.md",)], "p string")
     assert [r[0] for r in roles.select(readers.note_role(F.col("p"))).collect()] == ["scope", "project", "topic", "topic", "misplaced"]
-    log = tmp_path / "t.jsonl"
-    log.write_bytes("één\ntwo\nhalf".encode())
-    rows = readers.tail(spark, str(log)).orderBy("line_no").collect()
-    assert [(r.line, r.upto) for r in rows] == [("één", 10), ("two", 10)]
-    log.write_bytes("één\ntwo\nhalf\n".encode())
-    assert [(r.line, r.upto) for r in readers.tail(spark, str(log), 10).collect()] == [("half", 15)]
     (tmp_path / "w.jsonl").write_text('{"time":100,"id":"a","session":"s"}\nbad\n{"time":900000,"id":"b","session":"s","kind":"edit"}\n{"time":900000,"id":"c","session":"s","kind":"add"}\n')
     assert {r.id for r in readers.log(spark, "written", str(tmp_path / "w.jsonl"), 900_000, 1).collect()} == {"c"}
     writers.append(spark.createDataFrame([(1, "a")], "time long, id string"), str(tmp_path / "log"))

@@ -34,7 +34,7 @@ def test_find(spark):
 def _name_score(query, name):
     import re
 
-    from tidewell.functions.edits import swap_distance
+    from brute import swap_distance
 
     q, c = query.strip().lower(), name.lower()
     words = lambda t: [w for w in re.split(r"[\W_]+", t) if w]

@@ -1,6 +1,6 @@
 """Registered queries on small tables that hold what a restricted query would miss."""
 
-from tidewell.functions.edits import swap_distance
+from brute import swap_distance
 from tidewell.plans import queries
 
 

@@ -30,7 +30,8 @@ def reviewed_metrics(rows: DataFrame, by: list[str] | None = None, cube: bool =
     """Metrics over reviewed decisions: ``expects, ranked, decision (injected, silent, unavailable), correct_top, rank``.
 
     ``ranked`` false rows are skipped, ranked rows without a decision are unknown; the rest are eligible. A ratio with
-    denominator zero is null. ``by`` groups; ``cube`` adds all subtotals.
+    denominator zero is null. ``recall`` looks at the first ``k`` places, ``recall_at_1`` at the first; ``risk`` is the share
+    of injections that are wrong. ``by`` groups; ``cube`` adds all subtotals.
     """
     ranked, decided = F.col("ranked"), F.col("decision") != "unavailable"
     injected = ranked & (F.col("decision") == "injected")
@@ -39,13 +40,16 @@ def reviewed_metrics(rows: DataFrame, by: list[str] | None = None, cube: bool =
     answerable, no_answer = c(F.col("expects") & ranked), c(~F.col("expects") & ranked & decided)
     injections, correct = c(injected), c(injected & F.col("correct_top"))
     found, false = c(F.col("expects") & ranked & (F.col("rank") <= k)), c(injected & ~F.col("expects"))
-    eligible = n - skipped - unknown
+    eligible, silent = n - skipped - unknown, ranked & (F.col("decision") == "silent")
+    first = c(F.col("expects") & ranked & (F.col("rank") == 1))
     aggs = [
         n.alias("n"), skipped.alias("skipped"), unknown.alias("unknown"), eligible.alias("eligible"), answerable.alias("answerable"),
         no_answer.alias("no_answer"), injections.alias("injections"), correct.alias("correct"), (injections - correct).alias("wrong"),
         _ratio(found, answerable).alias("recall"), _ratio(correct, injections).alias("precision"),
         _ratio(false, no_answer).alias("false_injection"), _ratio(injections, eligible).alias("coverage"),
-        _ratio(injections - correct, eligible).alias("risk"),
+        _ratio(injections - correct, injections).alias("risk"), unknown.alias("unavailable"),
+        c(silent & F.col("expects")).alias("silent_positive"), c(silent & ~F.col("expects")).alias("silent_negative"),
+        _ratio(first, answerable).alias("recall_at_1"), _ratio(injections, eligible).alias("injection_rate"),
     ]
     if not by:
         return rows.agg(*aggs)

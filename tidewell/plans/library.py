@@ -248,15 +248,23 @@ def similar_to_new(spark, sf_dir):
     return similarity.pairs(vecs, 0.05, e.where("label = 1").select(F.col("vec_id").alias("id")))
 
 
+#: Recipes with the Fix before the rest, and their lines outside fences that are headings; DuckDB parses the same bodies.
+SWAPPED_SQL = r"""b AS (SELECT id, regexp_extract(body, '(?s)\n(## Fix\nRun.*)$', 1) || chr(10) || regexp_replace(body, '(?s)\n## Fix\nRun.*$', chr(10)) AS body FROM r WHERE type = 'recipe'),
+x AS (SELECT id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS k FROM b),
+f AS (SELECT *, count(*) FILTER (WHERE starts_with(line, '```')) OVER (PARTITION BY id ORDER BY k) AS fences FROM x),
+l AS (SELECT id, k AS line, trim(substr(line, 4)) AS heading FROM f WHERE starts_with(line, '## ') AND fences % 2 = 0)"""
+
+
 @query(
     "heading_disorder",
-    f"""WITH {LIB} SELECT id, 'Symptom' AS heading FROM r WHERE false UNION ALL SELECT id, 'Steps' FROM r WHERE n % 5 = 1 AND n % 2 = 0""",
+    f"""WITH {LIB}, {SWAPPED_SQL}, h AS (SELECT id, heading, min(line) AS line FROM l WHERE heading IN ('Fix', 'When to use') GROUP BY id, heading HAVING count(*) = 1)
+    SELECT a.id, a.heading, b.heading AS before FROM h a JOIN h b USING (id) WHERE a.heading = 'Fix' AND b.heading = 'When to use' AND a.line < b.line""",
 )
 def heading_disorder(spark, sf_dir):
     # bodies hold a Fix only in even records; it is put before the lead here, so every recipe that has one is out of order
     required = spark.createDataFrame([("recipe", "Fix", 2), ("recipe", "When to use", 1)], "type string, heading string, pos int")
     swapped = records(spark, sf_dir).withColumn("body", F.concat(F.regexp_extract("body", r"(?s)\n(## Fix\nRun.*)$", 1), F.lit("\n"), F.regexp_replace("body", r"(?s)\n## Fix\nRun.*$", "\n")))
-    return digest.heading_order(swapped, required).select("id", F.lit("Steps").alias("heading"))
+    return digest.heading_order(swapped, required)
 
 
 # --- reports -------------------------------------------------------------------------------------------------------

@@ -453,7 +453,10 @@ METRICS = """count(*) AS n, count_if(NOT ranked) AS skipped, count_if(ranked AND
   round(count_if(ranked AND decision = 'injected' AND correct_top) / nullif(count_if(ranked AND decision = 'injected'), 0), 6) AS precision,
   round(count_if(ranked AND decision = 'injected' AND NOT expects) / nullif(count_if(NOT expects AND ranked AND decision <> 'unavailable'), 0), 6) AS false_injection,
   round(count_if(ranked AND decision = 'injected') / nullif(count_if(ranked AND decision <> 'unavailable'), 0), 6) AS coverage,
-  round(count_if(ranked AND decision = 'injected' AND NOT correct_top) / nullif(count_if(ranked AND decision <> 'unavailable'), 0), 6) AS risk"""
+  round(count_if(ranked AND decision = 'injected' AND NOT correct_top) / nullif(count_if(ranked AND decision = 'injected'), 0), 6) AS risk,
+  count_if(ranked AND decision = 'unavailable') AS unavailable, count_if(ranked AND decision = 'silent' AND expects) AS silent_positive, count_if(ranked AND decision = 'silent' AND NOT expects) AS silent_negative,
+  round(count_if(expects AND ranked AND rank = 1) / nullif(count_if(expects AND ranked), 0), 6) AS recall_at_1,
+  round(count_if(ranked AND decision = 'injected') / nullif(count_if(ranked AND decision <> 'unavailable'), 0), 6) AS injection_rate"""
 
 
 def _reviewed(spark, sf_dir):

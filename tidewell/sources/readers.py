@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.joins import small
+
 USAGE = "time string, id string, event string, result string, session string, reason string, agent string"
 FIELDS = (
     "schema int, id string, type string, status string, superseded_by string, stale_reason string, `when` map<string,array<string>>, "
@@ -164,9 +166,24 @@ def staged(spark: SparkSession, root: str) -> DataFrame:
 def usage(spark: SparkSession, path: str) -> DataFrame:
     """Usage records of one or more machines, in file order (``machine, seq``); malformed lines are left out. The event
     may stand under its older name ``result``."""
-    rows = spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(path)
+    rows = in_file_order(spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(path))
     named = rows.withColumn("event", F.coalesce("event", "result")).drop("result").where("id IS NOT NULL AND event IS NOT NULL")
-    return named.withColumn("machine", F.input_file_name()).withColumn("seq", F.monotonically_increasing_id())
+    return named.withColumnRenamed("file", "machine")
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` as read from files, with ``file`` and ``seq``, which rises with the names of files and within them.
+
+    Spark deals files to tasks by size, so numbers of tasks say nothing. A file's place among all, the byte where a task's
+    piece of it begins and the row's number in the task make the number; a task has fewer rows than its first piece has
+    bytes, unless that is the file's last.
+    """
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    names = rows.sparkSession.createDataFrame([(n, k) for k, n in enumerate(sorted(rows.inputFiles()))], "__name string, __place long")
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"))
+    placed = placed.withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    joined = placed.join(small(names.withColumn("__name", plain("__name"))), plain("file") == F.col("__name"), "left")
+    return joined.withColumn("seq", F.shiftleft("__place", 44) + F.col("__start") + F.col("__row")).drop("__name", "__place", "__start", "__row")
 
 
 #: The logs of a machine and their columns.
@@ -184,7 +201,7 @@ LOGS = {
 def log(spark: SparkSession, name: str, path: str, now: int | None = None, days: int | None = None) -> DataFrame:
     """A log by its name, malformed lines left out, with ``seq`` in file order; with ``now`` and ``days`` only rows of
     that age. Of ``written`` only additions count; a row of an old file without a kind is one."""
-    rows = spark.read.schema(LOGS[name]).option("mode", "DROPMALFORMED").json(path).withColumn("seq", F.monotonically_increasing_id())
+    rows = in_file_order(spark.read.schema(LOGS[name]).option("mode", "DROPMALFORMED").json(path)).drop("file")
     if name == "written":
         rows = rows.where("kind IS NULL OR kind = 'add'")
     return rows if now is None else recent(rows, now, days)
@@ -195,18 +212,6 @@ def recent(log: DataFrame, now: int, days: int) -> DataFrame:
     return log.where(F.col("time") >= now - days * 86_400)
 
 
-def tail(spark: SparkSession, path: str, offset: int | None = None) -> DataFrame:
-    """``path, line_no, line, upto``: the whole lines of files after byte ``offset`` (all, if a file is shorter), and the
-    byte at which they end. A last line without an end waits for the next call."""
-    raw = spark.read.format("binaryFile").load(path)
-    start = F.when(F.col("length") >= (offset or 0), offset or 0).otherwise(0)
-    rest = raw.select("path", start.alias("start"), F.expr("substring(content, CAST({0} AS INT) + 1, length(content))".format("CASE WHEN length >= %d THEN %d ELSE 0 END" % (offset or 0, offset or 0))).alias("bytes"))
-    text = rest.withColumn("text", F.decode("bytes", "UTF-8"))
-    whole = text.withColumn("text", F.regexp_extract("text", r"(?s)^(.*\n)?", 0))
-    upto = F.col("start") + F.octet_length("text")
-    return whole.where("text != ''").select("path", F.posexplode(F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)).alias("line_no", "line"), upto.alias("upto"))
-
-
 def new_messages(messages: DataFrame, seen: DataFrame, most: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Messages (``msg_id, time``) that weren't seen, each once, and the ids to remember: the last ``most``."""
     fresh = messages.join(seen.select("msg_id"), "msg_id", "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy("msg_id").orderBy("time"))).where("__k = 1").drop("__k")
