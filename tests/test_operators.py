@@ -169,3 +169,16 @@ def test_leaks(spark):
     assert got == {(1, 1, "leak/email", "bob@x.org"), (1, 2, "leak/path", "/home/bob/a"), (2, 1, "leak/job-id", "job_id = 12")}
     clean = {r.id: r.x for r in d.select("id", leaks.redact(F.col("t"), home="/home/bob").alias("x")).collect()}
     assert clean[1] == "mail <email>\nsee ~/a and /scratch/$USER/x" and clean[3] is None
+
+
+def test_places_equal_a_window(spark):
+    from pyspark.sql import Window
+    from tidewell.operators import ranks
+
+    rows = spark.range(500).select(((F.col("id") * 37) % 101).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("b"), "id")
+    order = [F.desc("a"), F.asc_nulls_first("b"), "id"]
+    w = Window.orderBy(*order)
+    want = rows.select("id", F.row_number().over(w).alias("place"), F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("place_total"))
+    got = ranks.placed(rows.repartition(7), *order, total=F.col("id"))
+    assert sorted(map(tuple, got.select("id", "place", "place_total").collect())) == sorted(map(tuple, want.collect()))
+    assert got.columns == ["a", "b", "id", "place", "place_total"] and ranks.placed(rows.where("false"), "a").collect() == []

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import markdown, text
+from tidewell.plans.lineage import durable
 
 #: Lines of an extract, error lines of a command, characters of a digest part, of an argument and of a command. Fixed values.
 EXTRACT_LINES, ERROR_LINES, PART_CHARS, ARG_CHARS = 400, 20, 60_000, 160
@@ -97,29 +96,35 @@ def changed_times(steps: DataFrame) -> DataFrame:
     return steps.withColumn("__last", last).where("kind != 'time' OR __last IS NULL OR __last != text").drop("__last")
 
 
-def _dealt(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of a session in order to parts: an entry that would pass the limit begins a new part."""
-    for frame in frames:
-        part, size, out = 0, 0, []
-        for n in frame.sort_values("step")["chars"]:
-            n = min(int(n), PART_CHARS - 1)
-            if size and size + 1 + n > PART_CHARS:
-                part, size = part + 1, 0
-            size += n + (1 if size else 0)
-            out.append(part)
-        yield frame.sort_values("step").assign(part=out)[["session", "step", "part"]]
-
-
 def digest_parts(lines: DataFrame) -> DataFrame:
-    """``session, step, part, text``: entries (``session, step, lines``) cut to fit a part and dealt to parts in order.
+    """``session, step, part, text``: entries (``session, step, lines``) cut to fit a part and dealt to parts in order; an
+    entry that would pass a part's characters begins the next. Steps of a session are distinct.
 
-    Only lengths go through Python, one session at a time: where a part ends depends on all entries before.
+    Running sums say for each entry where the part ends that would begin with it, so an entry points to the next part's
+    first. Which entries do begin a part is found from the first one by doubling: each round knows all that are reached
+    in twice as many steps, and where twice as many steps lead.
     """
     cut = lines.select("session", "step", F.substring(F.array_join("lines", "\n"), 1, PART_CHARS - 1).alias("text"))
-    sized = cut.select("session", "step", F.char_length("text").alias("chars"))
-    kind = sized.schema["session"].dataType.simpleString(), sized.schema["step"].dataType.simpleString()
-    parts = sized.groupBy("session").applyInPandas(lambda f: next(_dealt([f])), f"session {kind[0]}, step {kind[1]}, part int")
-    return cut.join(parts, ["session", "step"]).select("session", "step", "part", "text")
+    order = Window.partitionBy("session").orderBy("step")
+    size = F.char_length("text") + 1  # with the line end before the next
+    upto = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = durable(cut.select("session", "step", (F.row_number().over(order) - 1).alias("k"), size.alias("size"), upto.alias("upto")))
+    # an entry's part takes all entries up to a sum; the last such entry is found by sorting sums and limits together
+    sums = placed.select("session", F.col("upto").alias("v"), F.lit(0).alias("limit"), "k")
+    limits = placed.select("session", F.col("upto") - F.col("size") + PART_CHARS + 1, F.lit(1), "k")
+    rising = Window.partitionBy("session").orderBy("v", "limit").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("limit") == 0, F.col("k"))).over(rising)
+    jumps = sums.union(limits).withColumn("to", last + 1).where("limit = 1").select("session", "k", "to")
+    jumps = durable(jumps.join(placed.select("session", F.col("k").alias("to")), ["session", "to"], "left_semi").select("session", "k", "to"))
+    begun = durable(placed.where("k = 0").select("session", "k"))
+    while not jumps.isEmpty():
+        more = begun.join(jumps, ["session", "k"]).select("session", F.col("to").alias("k"))
+        begun = durable(begun.union(more).distinct())
+        onward = jumps.select("session", F.col("k").alias("to"), F.col("to").alias("further"))
+        jumps = durable(jumps.join(onward, ["session", "to"]).select("session", "k", F.col("further").alias("to")))
+    starts = placed.join(begun.withColumn("begins", F.lit(1)), ["session", "k"], "left")
+    part = F.sum(F.coalesce("begins", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return cut.join(starts.select("session", "step", part.cast("int").alias("part")), ["session", "step"]).select("session", "step", "part", "text")
 
 
 def representatives(items: DataFrame) -> DataFrame:
@@ -194,8 +199,8 @@ ANSWER = r"(?i)^\s*[-*]?\s*\[?(\d+)\]?\s*[:.)\-]?\s*(keep|drop)\b[\s:,\-]*(.*)$"
 
 def ask_batch(candidates: DataFrame, most: int = 20, chars: int = 2000) -> DataFrame:
     """``entry, item, index, text``: the unsure candidates to ask about at once, in the order of their items."""
-    order = Window.orderBy("place", "index")
-    asked = candidates.where("verdict = 'unsure'").withColumn("entry", F.row_number().over(order) - 1).where(F.col("entry") < most)
+    first = candidates.where("verdict = 'unsure'").orderBy("place", "index").limit(most)
+    asked = first.withColumn("entry", F.row_number().over(Window.orderBy("place", "index")) - 1)
     return asked.select("entry", "item", "index", text.trimmed(F.substring("text", 1, chars)).alias("text"))
 
 

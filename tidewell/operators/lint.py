@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.config import CURRENT, IMAGES, MOST_IMAGE_BYTES, MOST_QUERIES, MOST_QUERY_CHARS, REQUIRED_HEADINGS, STATUS_HEADINGS, Gates
 from tidewell.functions import markdown, text, versions
 from tidewell.operators import graph, leaks, reports
+from tidewell.operators.ranks import placed
 
 FINDING = "array<struct<line:int,severity:string,rule:string,message:string>>"
 ID, FOLDER, DAY = r"^[0-9a-f]{10}$", r"^[a-z0-9]+(-[a-z0-9]+)*$", r"^\d{4}-\d{2}-\d{2}$"
@@ -173,7 +174,7 @@ def leaked(rows: DataFrame, usernames: tuple[str, ...] = ()) -> DataFrame:
 def ordered(findings: DataFrame) -> DataFrame:
     """``place`` by path, line (none first), severity, rule and message."""
     rank = F.when(F.col("severity") == "error", 0).otherwise(1)
-    return findings.withColumn("place", F.row_number().over(Window.orderBy("path", F.asc_nulls_first("line"), rank, "rule", "message")))
+    return placed(findings, "path", F.asc_nulls_first("line"), rank, "rule", "message")
 
 
 def current(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.config import CURRENT
 from tidewell.functions import edits, markdown, text
 from tidewell.operators import usage
+from tidewell.operators.ranks import placed
 from tidewell.operators.joins import small
 
 #: Ways by which a hook adds a record; the first part of an injection's reason. Fixed values.
@@ -23,8 +24,7 @@ def tiers(records: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = records.join(counts, "id", "left").withColumn("tier", usage.tier(F.col("status").isin(*CURRENT)))
     n = lambda c: F.coalesce(c, F.lit(0.0))
     proven = each.where("tier = 'proven'").select("id", n(usage.helpful()).alias("helpful"), n(usage.harmful()).alias("harmful"))
-    order = Window.orderBy(F.desc("helpful"), "harmful", "id")
-    return each.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), proven.select(F.row_number().over(order).alias("place"), "id", "helpful", "harmful")
+    return each.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), placed(proven, F.desc("helpful"), "harmful", "id").select("place", "id", "helpful", "harmful")
 
 
 def topic_view(records: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def worked_sessions(records: DataFrame) -> DataFrame:
 def skills(recipes: DataFrame, records: DataFrame, least: int = SKILL_SESSIONS) -> DataFrame:
     """``place, id, sessions``: active recipes that worked in enough sessions, the most first."""
     found = recipes.where("type = 'recipe' AND status = 'active'").join(worked_sessions(records).where(F.col("sessions") >= least), "id")
-    return found.select(F.row_number().over(Window.orderBy(F.desc("sessions"), "id")).alias("place"), "id", "sessions")
+    return placed(found, F.desc("sessions"), "id").select("place", "id", "sessions")
 
 
 def new_records(records: DataFrame, added: DataFrame, counts: DataFrame, today: str, days: int = NEW_DAYS) -> DataFrame:
@@ -163,7 +163,7 @@ def callers(log: DataFrame) -> DataFrame:
 
 def inbox_order(items: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """``place`` of each item: by priority, then age. Beyond ``most`` items the oldest are dropped."""
-    old = items.withColumn("__age", F.row_number().over(Window.orderBy(F.desc("time"), F.desc("item")))).where(F.col("__age") <= most).drop("__age")
+    old = items.orderBy(F.desc("time"), F.desc("item")).limit(most)
     return old.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "time", "item")))
 
 
@@ -199,8 +199,7 @@ def ready(items: DataFrame, seen: DataFrame, done: DataFrame, worked: DataFrame,
     twice = seen.groupBy("sig").agg(F.count_distinct("session").alias("n")).where("n >= 2").join(done, "sig", "left_anti")
     again = items.select("item", F.explode("signatures").alias("sig")).join(twice, "sig", "left_semi").select("item").distinct().withColumn("again", F.lit(True))
     found = items.join(first, "item", "left").join(again, "item", "left").where("worked OR again")
-    order = Window.orderBy(F.col("worked").isNull(), "time", "item")
-    return found.select(F.row_number().over(order).alias("place"), "item")
+    return placed(found, F.col("worked").isNull(), "time", "item").select("place", "item")
 
 
 def health(records: DataFrame, orphaned: DataFrame, replays: DataFrame, today: str, old_days: int = 365) -> DataFrame:
@@ -255,9 +254,8 @@ def retired(records: DataFrame, scopes: DataFrame) -> DataFrame:
 def preference_digest(records: DataFrame, counts: DataFrame, chars: int = DIGEST_CHARS) -> DataFrame:
     """``place, id, line``: standing preferences (``id, rule``) as lines, the most helpful first, while they fit."""
     lines = records.select("id", markdown.flat(F.col("rule")).alias("line")).where("line != ''").join(counts.select("id", "worked"), "id", "left").withColumn("worked", F.coalesce("worked", F.lit(0)))
-    order = Window.orderBy(F.desc("worked"), "id")
-    ranked = lines.withColumn("place", F.row_number().over(order)).withColumn("total", F.sum(F.char_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where(F.col("total") <= chars + 1).select("place", "id", "line")
+    ranked = placed(lines, F.desc("worked"), "id", total=F.char_length("line") + 1)
+    return ranked.where(F.col("place_total") <= chars + 1).select("place", "id", "line")
 
 
 def changes(commits: DataFrame) -> DataFrame:
@@ -297,7 +295,7 @@ def replay_report(replays: DataFrame, hits: DataFrame, written: DataFrame, pushe
     open_ = replays.join(pushed, "event", "left_anti").join(wrote, "session", "left_anti")
     program = F.coalesce(F.nullif(F.regexp_extract("query", r"(\S+)", 1), F.lit("")), F.lit("?"))
     by = open_.groupBy(program.alias("program")).agg(F.count(F.lit(1)).alias("n"), F.min_by("query", "seq").alias("example"))
-    return total, by.select(F.row_number().over(Window.orderBy(F.desc("n"), "program")).alias("place"), "program", "n", "example")
+    return total, placed(by, F.desc("n"), "program").select("place", "program", "n", "example")
 
 
 def first_stage(events: DataFrame, expected: DataFrame, hits: DataFrame) -> DataFrame:
@@ -317,7 +315,7 @@ def draft(replays: DataFrame, reports: DataFrame) -> DataFrame:
     shown = replays.where("injected IS NOT NULL").select("session", F.col("injected").alias("id"), "seq", "query")
     firsts = usage.first_report_after(shown.select("session", "id", "seq"), reports.where("event IN ('worked', 'irrelevant')"))
     met = shown.join(firsts.where("report IS NOT NULL"), ["session", "id", "seq"])
-    place = F.row_number().over(Window.orderBy("seq"))
+    met, place = placed(met, "seq"), F.col("place")
     good = F.col("report") == "worked"
     return met.select(
         F.concat(F.lit("replay-"), place).alias("key"), F.col("query").alias("text"), F.substring_index("query", " ", 1).alias("command"),
