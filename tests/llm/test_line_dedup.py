@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from tidewell.llm import line_dedup, queries
@@ -19,7 +20,7 @@ def _distance(a, b):
 def _expected(rows, errors=2):
     """``id, line_no`` of all lines that go."""
     lines = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip(" ")})
-    root = {x: x for x in lines}
+    root, bags = {x: x for x in lines}, {x: Counter(x) for x in lines}
 
     def top(x):
         while root[x] != x:
@@ -29,7 +30,9 @@ def _expected(rows, errors=2):
     for k, a in enumerate(lines):
         for b in lines[k + 1 :]:
             allowed = min(errors, max(len(a), len(b)) // 10)
-            if abs(len(a) - len(b)) <= allowed and top(a) != top(b) and _distance(a, b) <= allowed:
+            if abs(len(a) - len(b)) > allowed or top(a) == top(b) or (bags[a] - bags[b]).total() > allowed or (bags[b] - bags[a]).total() > allowed:
+                continue  # an edit takes one character away at most, and adds one at most
+            if _distance(a, b) <= allowed:
                 root[top(a)] = top(b)
     first, gone = {}, set()
     for i, t in sorted(rows):
@@ -63,27 +66,28 @@ def _random_rows(seed, n):
 def test_random_lines_equal_brute_force(spark, errors, monkeypatch):
     rows = _random_rows(errors, 400)
     want = _expected(rows, errors)
-    assert len(want) > 50 and _got(spark, rows, errors) == want
+    assert len(want) > 50
+    if errors == 1:
+        assert _got(spark, rows, errors) == want
+        return
     monkeypatch.setattr(line_dedup, "CROWDED", 3)  # nearly all keys are crowded then
     assert _got(spark, rows, errors) == want
 
 
-@pytest.mark.parametrize("errors", [1, 2])
-def test_templates_equal_brute_force(spark, errors):
+def test_templates_equal_brute_force(spark):
     pick = random.Random(9)
     number = lambda digits: str(pick.randrange(10**digits))
     lines = [f"2026-01-01 request {number(6)} was served in good time" for _ in range(250)]
     lines += [f"{number(5)} connections were opened by worker {number(4)} since start, {number(6)} bytes" for _ in range(150)]
     lines += [f"item {number(3)} of the list of all items" for _ in range(60)] + [f"code {number(8)}" for _ in range(60)]
     rows = [(i, "\n".join(lines[i::40])) for i in range(40)]
-    want = _expected(rows, errors)
-    assert len(want) > 20 and _got(spark, rows, errors) == want
+    want = _expected(rows)
+    assert len(want) > 20 and _got(spark, rows) == want
 
 
 def test_many_lines_of_one_template(spark):
     pick = random.Random(10)
     rows = [(i, "\n".join(f"GET /static/item/{pick.randrange(10**9):09d}/view.html answered with 200 by the front end" for _ in range(40))) for i in range(100)]
-    _got(spark, rows[:2])
     began = time.time()
     gone = _got(spark, rows)
     took = time.time() - began
@@ -93,7 +97,6 @@ def test_many_lines_of_one_template(spark):
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    few = sorted(rows)[:60]
-    assert _got(spark, few) == _expected(few)
     got = queries.op10_line_dedup(spark, sf).collect()
     assert len(got) == len(rows) and all(r.n_removed == len(r.removed) for r in got)
+    assert {(r.doc_id, x.line_no) for r in got for x in r.removed} == _expected(rows)
