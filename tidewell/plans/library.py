@@ -14,6 +14,7 @@ from tidewell.operators import conditions, digest, full_search, graph, hooks, li
 from tidewell.plans.queries import COUNTS
 from tidewell.plans.lineage import shared_folder
 from tidewell.plans.registry import QUERIES, SQL, query, stream, table
+from tidewell.sources import tails
 from tidewell.streaming import gates
 
 __all__ = ["QUERIES", "SQL"]
@@ -643,6 +644,14 @@ GATED = [
 ]
 
 
+@query("tailed_events", "SELECT event_id, event_type FROM events")
+def tailed_events(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.text(folder)
+    lines = tails.tail(spark, folder, suffix=".txt")
+    return lines.select(F.from_json("line", "event_id long, event_type string").alias("e")).select("e.*")
+
+
 # no SQL: the question at each stop looks at all that came before; a test compares with the batch operators
 @query("session_gates_streamed")
 def session_gates_streamed(spark, sf_dir):
