@@ -270,7 +270,6 @@ def template_links(crowded: DataFrame, found: DataFrame, errors: int, tasks: int
         rests = rests.join(small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     else:
         rests = rests.withColumn("root", F.col("id"))
-    rests = durable(rests)
     tiny = rests.where(F.char_length(r) <= LONGEST_TWO + errors)  # some are in both, for their lengths may differ
     less = F.array_append(ones(r), r)
     if errors > 1:
@@ -279,7 +278,7 @@ def template_links(crowded: DataFrame, found: DataFrame, errors: int, tasks: int
     long = keyed(rests.where(F.char_length(r) > LONGEST_TWO).select(F.struct("group", "id", "root", "s0", "s1").alias("d1"), F.lit(0).alias("d2"), F.col("rest").alias("line")), errors, 1)
     keys = F.array_distinct(F.array(*[F.col(f"k{k}") for k in range(len(lookups(errors)))]))
     segments = long.select("d1.*", F.explode(keys).alias("piece")).select("id", "root", "s0", "s1", _marks(F.col("piece")).alias("v"))
-    pieces = durable(left_out.union(segments))
+    pieces = left_out.union(segments)  # many and quickly made, so made twice and not kept
     several = pieces.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("v")
     open_ = durable(pieces.join(small(durable(several)), "v"))
     apart = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_match("x", "y", errors)
