@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +51,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner take away the shuffle files, and with ``spark.cleaner.referenceTracking.cleanCheckpoints`` the
+    checkpoints, of tables that nothing refers to any more.
+
+    The cleaner goes by what the driver's garbage collection finds, and a driver that does little may not collect for
+    half an hour, while the tables of operators with many rounds stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes that a side may take to be sent to all executors, as its rows' text and numbers.
 MOST_BROADCAST = 32 << 20
 

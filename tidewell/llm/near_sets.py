@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, gathered, mapped, small, steps, summed
+from .common import durable, gathered, mapped, released, small, steps, summed
 from .components import connected_components
 
 #: Words of the parity bitmap.
@@ -167,7 +167,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, width: int, p
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     enough = met.where(shared * (100 + percent) >= percent * (F.size("of_a") + F.size("of_b")))
-    return gathered(enough.select("a", "b").distinct())  # documents may repeat
+    links = gathered(enough.select("a", "b").distinct())  # documents may repeat
+    del sets, met, enough, asked, wanted, pairs
+    released(rows.sparkSession)
+    return links
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    roots = gathered(connected_components(links))
+    released(links.sparkSession)
+    return roots
 
 
 def near_sets(docs: DataFrame, doc_col: str, text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -191,11 +200,13 @@ def near_sets(docs: DataFrame, doc_col: str, text_col: str = "text", width: int
     ends = of_fp.withColumnsRenamed({"fp": "a", "sid": "x"}), of_fp.withColumnsRenamed({"fp": "b", "sid": "y"})
     linked = simhash.links(of_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select(*pair("x", "y"))
     links = verified(same.union(linked).distinct())
-    roots = gathered(connected_components(links))
+    del of_fp, same, ends, linked
+    roots = _roots(links)
 
     keys = mapped(known.select("sid", "prefix"), _keys, "sid long, key long").repartition("key")  # both sides read this exchange
     several = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("key")
     keys = gathered(keys.join(several, "key").distinct())
+    released(docs.sparkSession)
     size = known.select("sid", "n")
 
     def apart() -> DataFrame:
@@ -218,12 +229,12 @@ def near_sets(docs: DataFrame, doc_col: str, text_col: str = "text", width: int
         nearest = met.groupBy("sid").agg(F.max_by(F.struct("pivot", "shared"), F.struct("shared", "pivot")).alias("m"))
         spokes = enough(nearest.select(*pair("sid", "m.pivot"), "m.shared")).distinct()
         links = links.union(verified(spokes))
-        roots = gathered(connected_components(links))
+        roots = _roots(links)
     left = apart().join(facts, "sid")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
     cross = left.alias("x").join(left.alias("y"), met & _may_link("x.{}", "y.{}", percent)).groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     links = links.union(_verified(enough(cross.agg(F.count(F.lit(1)).alias("shared"))), rows, known, width, percent))
-    roots = gathered(connected_components(links))
+    roots = _roots(links)
     rooted = known.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = small(durable(rooted.select("sid", "root").join(groups, "root").select("sid", "component_id")), MOST_SENT)
