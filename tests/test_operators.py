@@ -171,6 +171,14 @@ def test_leaks(spark):
     assert clean[1] == "mail <email>\nsee ~/a and /scratch/$USER/x" and clean[3] is None
 
 
+def test_order_of_pairs(spark):
+    rows = [("b", "c", 0.5), ("a", "d", 0.5), ("a", "c", 0.5), ("c", "d", 1.0), ("a", "b", 0.25)]
+    got = similarity.in_order(spark.createDataFrame(rows, "a string, b string, similarity double").repartition(3))
+    placed = {(r["a"], r["b"]): r["place"] for r in got.collect()}
+    assert placed == {("c", "d"): 1, ("a", "c"): 2, ("a", "d"): 3, ("b", "c"): 4, ("a", "b"): 5}
+    assert similarity.in_order(spark.createDataFrame([], "a string, b string, similarity double")).collect() == []
+
+
 def test_places_equal_a_window(spark):
     from pyspark.sql import Window
     from tidewell.operators import ranks

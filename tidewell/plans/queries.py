@@ -338,6 +338,14 @@ def similar_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir, 0.4)
 
 
+@query(
+    "ordered_pairs",
+    f"WITH {LESSONS}, {VECTORS} SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, a, b) AS INTEGER) AS place FROM pairs WHERE similarity >= 0.4",
+)
+def ordered_pairs(spark, sf_dir):
+    return similarity.in_order(_pairs(spark, sf_dir, 0.4))
+
+
 @query("orphans", f"WITH {LESSONS}, {VECTORS} SELECT id FROM l WHERE id NOT IN (SELECT a FROM pairs WHERE similarity >= 0.2 UNION SELECT b FROM pairs WHERE similarity >= 0.2)")
 def orphans(spark, sf_dir):
     return similarity.orphans(lessons(spark, sf_dir).select("id"), _pairs(spark, sf_dir, 0.2))
