@@ -190,3 +190,32 @@ def test_places_equal_a_window(spark):
     got = ranks.placed(rows.repartition(7), *order, total=F.col("id"))
     assert sorted(map(tuple, got.select("id", "place", "place_total").collect())) == sorted(map(tuple, want.collect()))
     assert got.columns == ["a", "b", "id", "place", "place_total"] and ranks.placed(rows.where("false"), "a").collect() == []
+
+
+def test_pairs_over_blocks_and_what_hangs_on_them(spark, monkeypatch):
+    """Blocks of a few records, sums of a few cells: the same pairs, without rows for the products between."""
+    import random
+
+    pick = random.Random(5)
+    rows = [(f"r{d:02d}", t, pick.random() + 0.1) for d in range(40) for t in pick.sample("abcdefghijklmnop", 4)]
+    of = {}
+    for d, t, w in rows:
+        of.setdefault(d, {})[t] = w
+    dot = lambda a, b: min(1.0, round(sum(w * of[b].get(t, 0) for t, w in of[a].items()), 6))
+    want = {(a, b): dot(a, b) for a in of for b in of if a < b and dot(a, b) >= 0.5}
+    for name, size in (("BLOCK_RECORDS", 7), ("CELLS", 20), ("PRODUCTS", 5), ("JOINED", 3)):
+        monkeypatch.setattr(similarity, name, size)
+    vecs = spark.createDataFrame(rows, "id string, term string, w double")
+    found = similarity.pairs(vecs, 0.5)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.b): r.similarity for r in found.collect()} == want
+    few = spark.createDataFrame([(f"r{k:02d}",) for k in range(0, 40, 3)], "id string")
+    mine = {x[0] for x in few.collect()}
+    assert {(r.a, r.b): r.similarity for r in similarity.pairs(vecs, 0.5, few).collect()} == {k: v for k, v in want.items() if mine & set(k)}
+    label = {x: x for pair in want for x in pair}
+    for a, b in list(want) * len(label):
+        label[a] = label[b] = min(label[a], label[b])
+    assert {(r.id, r.cluster) for r in similarity.clusters(found).collect()} == set(label.items())
+    best = {(r.a, r.b) for r in similarity.nearest(found, 2).collect()}
+    by = {x: sorted((v for k, v in want.items() if x in k), reverse=True)[:2] for x in label}
+    assert best == {k for k, v in want.items() if any(v >= by[x][-1] for x in k)}
