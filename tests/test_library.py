@@ -272,3 +272,23 @@ def test_commits_and_paths_decide(spark):
     got = lambda *more: {r.id: r.applies for r in conditions.verdicts(records, wanted, facts, *more)[0].collect()}
     assert got(known) == {0: True, 1: False, 2: None, 3: True, 4: False, 5: True}
     assert got() == {0: None, 1: None, 2: None, 3: True, 4: False, 5: True}
+
+
+def test_literal_places_once_for_each_scope(spark):
+    from tidewell.operators import full_search
+
+    r = spark.createDataFrame([(k, f"t{k % 3}", "x here" if k % 2 else "none", ["general", "projects", "systems"][k % 3], f"o{k % 2}") for k in range(24)], "id int, title string, text string, scope string, owner string")
+    q = spark.createDataFrame([(k, [None, "o1"][k % 2], [None, "o0", "o1"][k % 3], k % 5 == 0) for k in range(30)], "query_id int, project string, system string, everywhere boolean")
+    got = full_search.literal(r, q, "here")
+    want = set()
+    for k in q.collect():
+        rows = []
+        for x in r.where("text LIKE '%here'").collect():
+            rank = 0 if x.scope == "projects" and x.owner == k.project else 1 if x.scope == "systems" and x.owner == k.system else 2
+            if k.everywhere or x.scope == "general" or rank < 2:
+                rows.append((rank, x.title, x.id))
+        want |= {(k.query_id, n, x[2]) for n, x in enumerate(sorted(rows), 1)}
+    assert {(x.query_id, x.place, x.id) for x in got.collect()} == want and got.count() == len(want)
+    # places are numbered for scopes, not for queries
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") > plan.index("Repartition") > plan.index("Join")
