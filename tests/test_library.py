@@ -292,3 +292,16 @@ def test_literal_places_once_for_each_scope(spark):
     # places are numbered for scopes, not for queries
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") > plan.index("Repartition") > plan.index("Join")
+
+
+def test_shared_keys_meets_classes(spark):
+    r = spark.createDataFrame([(k, ["active", "stale", "archived"][k % 3], [f"b{k % 4}", "all"] if k % 5 else [], {f"o{k % 2}": "x"} if k % 3 else None) for k in range(30)], "id int, status string, tags array<string>, when map<string,string>")
+    from tidewell.operators import graph
+
+    keys = {x.id: (x.status, {f"tag:{t}" for t in x.tags} | {f"when:{t}" for t in x.when or {}}) for x in r.collect()}
+    want = {(a, b, tuple(sorted(keys[a][1] & keys[b][1]))) for a in keys for b in keys if a != b and keys[b][0] != "archived" and keys[a][1] & keys[b][1]}
+    assert {(x.a, x.b, tuple(x.shared)) for x in graph.shared_keys(r).collect()} == want
+    few = spark.createDataFrame([(3,), (4,)], "id int")
+    assert {(x.a, x.b, tuple(x.shared)) for x in graph.shared_keys(r, few).collect()} == {w for w in want if w[0] in (3, 4)}
+    plan = graph.shared_keys(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.index("Join")  # nothing is grouped after the pairs of records
