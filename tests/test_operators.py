@@ -219,3 +219,15 @@ def test_pairs_over_blocks_and_what_hangs_on_them(spark, monkeypatch):
     best = {(r.a, r.b) for r in similarity.nearest(found, 2).collect()}
     by = {x: sorted((v for k, v in want.items() if x in k), reverse=True)[:2] for x in label}
     assert best == {k for k, v in want.items() if any(v >= by[x][-1] for x in k)}
+
+
+def test_holding_meets_by_inner_pieces(spark):
+    texts = ["a long word here", "along word here", "long wordy here", "x a long word", "ends long", "  two  spaces ", None, "word", "a word a word a"]
+    asked = ["g word h", "long word", "a long word", "word", "two  sp", " ", "  ", "", None, "word a word", "d a w"]
+    r = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, q string")
+    want = sorted((k, i) for k, x in enumerate(asked) for i, t in enumerate(texts) if x is not None and t is not None and x in t)
+    got = search.holding(r, "t", q, ["id"])
+    assert sorted((x.query_id, x.id) for x in got.collect()) == want
+    plain = search.holding(r, "t", q.where("query_id IN (0, 2)"), ["id"])
+    assert "NestedLoop" not in plain._jdf.queryExecution().executedPlan().toString()
