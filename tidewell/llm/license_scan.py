@@ -160,11 +160,11 @@ def text_blocks(texts: DataFrame, made: list[Rule], ranks: dict[str, int]) -> Da
     text = ["k1", "k2", "rule"]
     enough = hits.groupBy(*text, "need").agg(F.count_distinct("word").alias("n")).where("n >= need").select(*text)
     open_ = hits.join(enough, text, "left_semi").join(whole.select(*block, "rule"), [*block, "rule"], "left_anti")
-    span = {s: Window.partitionBy(*text).orderBy("place").rangeBetween(0, s - 1) for s in {r.span for r in made}}
-    found = None
-    for s, w in span.items():
-        part = open_.where(F.col("span") == s).withColumn("n", F.size(F.collect_set("word").over(w))).where("n >= need")
-        found = part if found is None else found.union(part)
+    # one frame for windows of all lengths: a rule's places are stretched so that its span is what the frame holds
+    frame = max(r.span * (r.span - 1) for r in made) + 1
+    stretch = F.expr(f"CAST(place AS BIGINT) * (CASE WHEN span > 1 THEN {frame} DIV (span - 1) ELSE {frame + 1} END)")
+    window = Window.partitionBy(*text).orderBy("stretched").rangeBetween(0, frame)
+    found = open_.withColumn("stretched", stretch).withColumn("n", F.size(F.collect_set("word").over(window))).where("n >= need")
     broken = found.groupBy(*block, "rule", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
     return whole.union(broken.select(whole.columns))
 
