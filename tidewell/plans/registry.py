@@ -25,10 +25,11 @@ SPREAD_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of texts that is so small that its scan would be a task or two is dealt to all cores."""
+    """A table; one of texts that is so small that its scan would be a task or two is dealt to all cores. So is any part
+    table: its rows are a few bytes each, of which records with long bodies are made."""
     read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES:
+    if name == "part" or name in ("documents", "pages") and int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES:
         return read.repartition(cores)
     return read
 
