@@ -8,7 +8,7 @@ wide. The last pass sends the candidates at or over the k-th score, and ties are
 
 A block never needs to report bins under its own k-th score (the global one can't be lower), nor more than k
 candidates in order of score and id, so what a block sends is bounded by k for each query however many scores tie.
-Both sides are joined on block numbers, so neither is broadcast and no task holds more than two blocks.
+Both sides are joined on block numbers by merging, so neither is broadcast and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -82,15 +82,17 @@ def _histograms(k: int, exact_float: bool):
                 out = []
                 for i in range(len(q_ids)):
                     x = s[i][c_ids != q_ids[i]] - low[i]
-                    x = x[(x >= 0) & (x < span[i])] // width[i]
+                    x = x[(x >= 0) & (x < span[i])]
                     if not len(x):
                         continue
-                    bins, n = np.unique(x, return_counts=True)
+                    if len(x) > need[i]:  # what is under this block's own k-th score needn't be sorted
+                        x = x[x >= np.partition(x, -need[i])[-need[i]]]
+                    bins, n = np.unique(x // width[i], return_counts=True)
                     above = n[::-1].cumsum()[::-1] - n  # scores of this block over each bin
                     keep = above < need[i]
-                    out.append(pd.DataFrame({"q": numbers[i], "bin": bins[keep], "n": n[keep]}))
+                    out.append((np.full(keep.sum(), numbers[i]), bins[keep], n[keep]))
                 if out:
-                    yield pd.concat(out)
+                    yield pd.DataFrame(dict(zip(("q", "bin", "n"), map(np.concatenate, zip(*out)))))
 
     return run
 
@@ -104,8 +106,9 @@ def _winners(k: int, exact_float: bool):
                 for i in range(len(q_ids)):
                     at = np.nonzero((s[i] >= low[i]) & (c_ids != q_ids[i]))[0]
                     at = at[np.lexsort((c_ids[at], -s[i][at]))[:k]]
-                    out.append(pd.DataFrame({"q": numbers[i], "query_id": q_ids[i], "vec_id": c_ids[at], "score": s[i][at]}))
-                yield pd.concat(out)
+                    out.append((np.full(len(at), numbers[i]), np.full(len(at), q_ids[i]), c_ids[at], s[i][at]))
+                if out:
+                    yield pd.DataFrame(dict(zip(("q", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     return run
 
@@ -148,7 +151,8 @@ def top_k(
 
     def paired(state: DataFrame) -> DataFrame:
         blocks = _blocks(state, "q", q_blocks, query_block, ("q", "low", "width", "need", "span")).withColumn("c_block", grid)
-        return blocks.join(packed, "c_block")
+        # a block's size isn't known to the planner, which would broadcast all pairs of blocks through the driver
+        return blocks.join(packed.hint("merge"), "c_block")
 
     for width, finer in zip(widths, [*widths[1:], 0]):
         counts = paired(state).mapInPandas(_histograms(k, exact), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
