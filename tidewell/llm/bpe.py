@@ -7,7 +7,9 @@ maps into memory. A word that the transducer doesn't accept is merged exactly, p
 
 Text is cut in two steps. A space that stands before a character other than white space always begins a new word of
 the pre-tokenizer's pattern, so texts are split there first and the pieces (few of them distinct) are remembered in a
-cache of bounded size; a piece that isn't in the cache is cut by the pattern and looked up word by word.
+cache of bounded size. A piece that isn't in the cache is put together from the parts that are words whatever stands
+around them (a word of letters, the marks at its end, what follows a line break), which are remembered themselves; only
+other pieces are cut by the pattern and looked up word by word.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import heapq
 import json
 import mmap
 import re
+import string
 import struct
 import tempfile
 from array import array
@@ -33,10 +36,12 @@ from .common import kept, mapped
 #: Cuts text into words. Fixed value of the byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN)
-#: Marks that often end a piece; each is one byte and so has an id.
-MARKS = ",.;:!?"
+#: Marks that may end a piece: after a letter, any run of them is one word.
+MARKS = string.punctuation
 #: A space after which the text can't simply be cut.
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: A line break that isn't a word of its own.
+ODD_BREAK = re.compile(r"\s\n|\n\s")
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,11 +65,11 @@ class Vocabulary:
         for i, b in self.bytes_of.items():
             if len(b) == 1:
                 self.of_byte[b[0]] = i
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # of a pair of ids, as one number
         self.made: list[int] = []
         for pair in spec["model"]["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[ids[a], ids[b]] = len(self.made)
+            self.rank[ids[a] << 32 | ids[b]] = len(self.made)
             self.made.append(ids[a + b])
         self.none = len(self.made)  # the rank of pairs that don't merge
 
@@ -73,15 +78,15 @@ class Vocabulary:
         parts, rank, none = [*map(self.of_byte.__getitem__, word)], self.rank.get, self.none
         if len(parts) > 64:
             return self._merge_long(parts)
-        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        ranks = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != none:
             k = ranks.index(best)
             parts[k : k + 2] = [self.made[best]]
             del ranks[k]
             if k:
-                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+                ranks[k - 1] = rank(parts[k - 1] << 32 | parts[k], none)
             if k < len(ranks):
-                ranks[k] = rank((parts[k], parts[k + 1]), none)
+                ranks[k] = rank(parts[k] << 32 | parts[k + 1], none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -91,7 +96,7 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = right[i]
-            if j < n and (found := self.rank.get((parts[i], parts[j]), self.none)) != self.none:
+            if j < n and (found := self.rank.get(parts[i] << 32 | parts[j], self.none)) != self.none:
                 heapq.heappush(queue, (found, i, parts[i], parts[j]))
 
         for i in range(n):
@@ -236,24 +241,41 @@ class Lexicon:
 
 
 class _Pieces(dict):
-    """Ids of pieces of text that begin with a space, as bytes."""
+    """Ids of pieces of text, as bytes. A piece begins with a space, which is left out, or with a line break."""
 
     def __init__(self, encoder: Encoder, most: int):
         self.encoder, self.most = encoder, most
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece[:-1]
-        if piece.isalpha():  # one word of letters
-            ids = self.encoder.encode_word(" " + piece)
-        elif word.isalpha() and piece[-1] in MARKS:  # and a mark, which is a word of its own
-            ids = self[word] + self.encoder.marks[piece[-1]]
+        lines = piece.split("\n")
+        if len(lines) > 1 and piece[0] != "\n" and "" not in lines and not ODD_BREAK.search(piece):
+            # not remembered as a whole: ends and starts of lines seldom meet twice
+            return self[lines[0]] + b"".join([self["\n" + line] for line in lines[1:]])
+        word = piece.rstrip(MARKS)
+        if word.isalpha():  # a word of letters
+            ids = self.encoder.encode_word(" " + word) if word is piece else self[word] + self._marks(piece[len(word) :])
+        elif word[:1] == "\n" and word[1:].isalpha():  # one at the start of a line, where no space belongs to it
+            ids = self.encoder.line_break + self.encoder.encode_word(word[1:]) if word is piece else self[word] + self._marks(piece[len(word) :])
+        elif piece[:1] == "\n":
+            ids = self.encoder.encode_run(piece)
         else:
             ids = self.encoder.encode_run(" " + piece)
-        if len(piece) <= 64:
+        self._keep(piece, ids)
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        key = "\n\n" + marks  # no piece begins so
+        ids = self.get(key)
+        if ids is None:
+            ids = self.encoder.encode_word(marks)
+            self._keep(key, ids)
+        return ids
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        if len(key) <= 64:
             if len(self) >= self.most:
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = ids
 
 
 class Encoder:
@@ -262,7 +284,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, cache: int = 500_000):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pieces = _Pieces(self, cache)
-        self.marks = {m: struct.pack("<I", vocabulary.of_byte[ord(m)]) for m in MARKS}
+        self.line_break = struct.pack("<I", vocabulary.of_byte[ord("\n")])
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.token_bytes = vocabulary.bytes_of | {i: t.encode() for t, i in vocabulary.special.items()}
 
