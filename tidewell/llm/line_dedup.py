@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, released, small
 from .components import connected_components
 
 #: Characters whose counts make a line's signature, four bits each, in two numbers.
@@ -325,7 +325,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = similar_lines(distinct, lines, errors, least)
     if errors == 2:
         links = links.union(short_links(lines, SHARE - 1, 2 * SHARE - 1))
-    roots = durable(connected_components(durable(links)))
+    links = durable(links)
+    released(docs.sparkSession)
+    roots = durable(connected_components(links))
     of_node = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
     classes = distinct.select("d1", "d2", "n").join(small(of_node), ["d1", "d2"], "left").where("n > 1 OR root IS NOT NULL")
     classes = durable(classes.select("d1", "d2", F.coalesce("root", F.struct("d1", "d2")).alias("root")))

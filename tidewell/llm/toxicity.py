@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, kept, mapped, py_fold
+from .common import id_fold, kept, mapped, py_fold, tidy
 
 PARTS = re.compile(r"[^\W_]+")
 EDGES = ".,;:!?\"'()[]{}<>*%&$#…«»¿¡"
@@ -99,6 +99,9 @@ POWERS = np.cumprod(np.full(80, 0x9E3779B97F4A7C15, np.uint64))
 #: Words whose n-grams are worked out at once.
 BLOCK = 1 << 14
 
+#: Windows that training scores and chooses from at once.
+WINDOWS = 1 << 15
+
 
 def bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of every n-gram of every word (as ``tokens`` gives them) and of the words themselves, in
@@ -156,23 +159,22 @@ class _Corpus:
             ids.extend(row)
             sizes.extend(np.diff(np.append(starts, len(row))).tolist())
             owner.extend([d] * len(starts))
-        words, sizes_of, buckets = list(numbers), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        words, sizes_of, buckets = list(numbers), [np.zeros(0, np.int64)], array("i")
+        del numbers
         for k in range(0, len(words), BLOCK):
             part = words[k : k + BLOCK]
             owner_of, found = _bags(part, s)
             sizes_of.append(np.bincount(owner_of, minlength=len(part)))
-            buckets.append(found)
-        self.words = np.array(ids, np.int32)
-        self.sizes, self.owner = np.array(sizes, np.int64), np.array(owner, np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bag_sizes, self.bags = np.concatenate(sizes_of), np.concatenate(buckets)
+            buckets.frombytes(found.tobytes())
+        self.words, self.sizes, self.owner = np.asarray(ids), np.asarray(sizes), np.asarray(owner)  # not copied
+        self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)  # words are fewer than 2**31
+        self.bag_sizes, self.bags = np.concatenate(sizes_of), np.asarray(buckets)
         self.bag_starts = np.cumsum(self.bag_sizes) - self.bag_sizes
 
     def log_odds(self, y: np.ndarray, own: np.ndarray, buckets: int, least: int) -> np.ndarray:
         """Of each bucket: how much more often toxic texts hold it than clean ones; 0 for those in few texts."""
         counts = np.zeros((2, buckets))
-        ends = np.searchsorted(self.owner, np.arange(len(y) + 1))  # windows of a text stand together
-        edges = np.append(self.starts, len(self.words))[ends]
+        edges = np.append(self.starts, len(self.words))[self.edges(len(y))]
         for d in np.nonzero(own)[0]:
             words = np.unique(self.words[edges[d] : edges[d + 1]])
             counts[y[d], np.unique(self.bags[_ranges(self.bag_starts[words], self.bag_sizes[words])])] += 1
@@ -180,12 +182,33 @@ class _Corpus:
         odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
         return np.where(counts.sum(0) >= least, odds, 0.0)
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        """The mean of each window, for one weight a bucket."""
-        if not len(self.sizes):
+    def edges(self, texts: int) -> np.ndarray:
+        """The first window of each text and the end; windows of a text stand together."""
+        return np.searchsorted(self.owner, np.arange(texts + 1))
+
+    def parts(self, texts: int) -> Iterator[slice]:
+        """The windows of consecutive texts, some ten thousands at a time, so that what is worked out for each window
+        doesn't lie in the driver for all at once."""
+        edges, first = self.edges(texts), 0
+        for d in range(1, texts + 1):
+            if edges[d] - edges[first] >= WINDOWS or d == texts and edges[d] > edges[first]:
+                yield slice(int(edges[first]), int(edges[d]))
+                first = d
+
+    def word_means(self, weights: np.ndarray) -> np.ndarray:
+        """The mean of each word, for one weight a bucket."""
+        if not len(self.bag_sizes):
             return np.zeros(0)
-        word = np.add.reduceat(weights.astype(np.float32)[self.bags], self.bag_starts) / self.bag_sizes
-        return np.add.reduceat(word[self.words], self.starts) / self.sizes
+        light, out = weights.astype(np.float32), []
+        for k in range(0, len(self.bag_sizes), BLOCK):
+            sizes, starts = self.bag_sizes[k : k + BLOCK], self.bag_starts[k : k + BLOCK]
+            out.append(np.add.reduceat(light[self.bags[starts[0] : starts[-1] + sizes[-1]]], starts - starts[0]) / sizes)
+        return np.concatenate(out)
+
+    def scores(self, means: np.ndarray, at: slice) -> np.ndarray:
+        """The mean of each window of ``at``, for one number a word."""
+        first, last = self.starts[at.start], self.starts[at.stop - 1] + self.sizes[at.stop - 1]
+        return np.add.reduceat(means[self.words[first:last]], self.starts[at] - first) / self.sizes[at]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -202,6 +225,7 @@ def _fit(c: _Corpus, chosen: np.ndarray, y: np.ndarray, e: np.ndarray, w: np.nda
     bags = c.bags[_ranges(c.bag_starts[used], bag_sizes)]
     rows, bag_at = np.unique(bags, return_inverse=True)
     firsts, bag_firsts = np.cumsum(sizes) - sizes, np.cumsum(bag_sizes) - bag_sizes
+    blocks = [(slice(k, k + BLOCK // 8), int(bag_firsts[k]), int((bag_firsts + bag_sizes)[k : k + BLOCK // 8][-1])) for k in range(0, len(used), BLOCK // 8)]
     live = (e[rows] != 0).any(1)[:, None]
     of_window, of_word = np.repeat(np.arange(len(chosen)), sizes), np.repeat(np.arange(len(used)), bag_sizes)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -209,7 +233,7 @@ def _fit(c: _Corpus, chosen: np.ndarray, y: np.ndarray, e: np.ndarray, w: np.nda
     speeds = [np.zeros_like(p) for p in params]
     for step in range(1, s.steps + 1):
         emb = params[0]
-        word = np.add.reduceat(emb[bag_at], bag_firsts, axis=0) / bag_sizes[:, None]
+        word = np.concatenate([np.add.reduceat(emb[bag_at[a:z]], bag_firsts[at_once] - a, axis=0) for at_once, a, z in blocks]) / bag_sizes[:, None]
         x = np.add.reduceat(word[at], firsts, axis=0) / sizes[:, None]
         z = x @ params[1].T + params[2]
         p = np.exp(z - z.max(1, keepdims=True))
@@ -240,6 +264,24 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 1e-3) / scale, float(theta[1])
 
 
+def _runs(owner: np.ndarray) -> list[tuple[int, int]]:
+    """Where each text's windows begin and end."""
+    firsts = np.nonzero(np.diff(owner, prepend=-1))[0]
+    return list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(owner)]))
+
+
+def _chosen(c: _Corpus, score: np.ndarray, at: slice, y: np.ndarray, own: np.ndarray, rng: np.random.Generator, s: Settings) -> np.ndarray:
+    """The windows of ``at`` to fit on next: of toxic texts those that score highest, of clean ones the highest and some others."""
+    owner = c.owner[at] - c.owner[at.start]
+    order = np.lexsort((-score, owner))
+    firsts = np.r_[True, np.diff(owner[order]) != 0]
+    place = np.empty(len(score), np.int64)  # of a window in its text, by score
+    place[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(firsts, np.arange(len(order)), 0))
+    per_text, words = np.bincount(owner)[owner], np.bincount(owner, c.sizes[at])[owner]
+    take = np.where(y[c.owner[at]] == 1, place < np.maximum(1, words * s.share), (place < np.maximum(2, words * s.share)) | (rng.random(len(score)) < 1.0 / per_text))
+    return at.start + np.nonzero(take & own[c.owner[at]])[0]
+
+
 def train(texts: list[str], labels: list[int], held_back: list[bool], s: Settings = Settings()) -> Model:
     """Fit on the texts; those held back serve the calibration only. Without both classes, all texts score alike."""
     rng = np.random.default_rng(s.seed)
@@ -247,7 +289,8 @@ def train(texts: list[str], labels: list[int], held_back: list[bool], s: Setting
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return Model(s, np.zeros(s.buckets, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    c = _Corpus(texts, s)
+    c, n = _Corpus(texts, s), len(texts)
+    tidy()
     own = ~np.array(held_back, bool)
     # embeddings begin as noise around the log-odds of their n-gram along one direction, which the softmax reads
     odds = c.log_odds(y, own, s.buckets, s.least_texts)
@@ -255,26 +298,19 @@ def train(texts: list[str], labels: list[int], held_back: list[bool], s: Setting
     u /= np.linalg.norm(u)
     e = (odds[:, None] * u + rng.normal(0, 0.02, (s.buckets, s.dimensions))) * (odds != 0)[:, None]
     w, b = np.stack([-u, u]), np.zeros(2)
-    label, usable = y[c.owner], own[c.owner]
     for r in range(s.rounds):
-        score = c.scores(e @ (w[1] - w[0]))
-        order = np.lexsort((-score, c.owner))
-        firsts = np.r_[True, np.diff(c.owner[order]) != 0]
-        place = np.empty(len(score), np.int64)  # of a window in its text, by score
-        place[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(firsts, np.arange(len(order)), 0))
-        per_text = np.bincount(c.owner, minlength=len(texts))[c.owner]
-        words = np.bincount(c.owner, c.sizes, len(texts))[c.owner]
-        take = np.where(label == 1, place < np.maximum(1, words * s.share), (place < np.maximum(2, words * s.share)) | (rng.random(len(score)) < 1.0 / per_text))
-        chosen = np.nonzero(take & usable)[0]
+        means = c.word_means(e @ (w[1] - w[0]))
+        chosen = np.concatenate([np.zeros(0, np.int64), *[_chosen(c, c.scores(means, at), at, y, own, rng, s) for at in c.parts(n)]])
         if len(chosen):
-            _fit(c, chosen, label[chosen], e, w, b, s)
+            _fit(c, chosen, y[c.owner[chosen]], e, w, b, s)
+        tidy()
     weights, bias = e @ (w[1] - w[0]), float(b[1] - b[0])
-    score = c.scores(weights) + bias
-    highest = np.full(len(texts), bias)
-    edges = np.searchsorted(c.owner, np.arange(len(texts) + 1))
-    for d in np.nonzero(np.diff(edges))[0]:
-        own_windows = slice(edges[d], edges[d + 1])
-        highest[d] = pooled(score[own_windows], c.sizes[own_windows].sum(), s.share)
+    means = c.word_means(weights)
+    highest = np.full(n, bias)
+    for at in c.parts(n):
+        score, owner, sizes = c.scores(means, at) + bias, c.owner[at], c.sizes[at]
+        for first, last in _runs(owner):
+            highest[owner[first]] = pooled(score[first:last], int(sizes[first:last].sum()), s.share)
     fit = ~own if len(set(y[~own].tolist())) == 2 else np.ones(len(y), bool)
     slope, offset = _calibrate(highest[fit], y[fit])
     return Model(s, weights.astype(np.float32), bias, slope, offset)
@@ -334,7 +370,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_f
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = texts.where(F.char_length("text") <= s.train_chars).join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "text")
     rows = rows.limit(s.train_rows).collect()
-    return train([r["text"] for r in rows], [int(r["y"] > 0) for r in rows], [py_fold(f"back{r['id']}", 4) == 0 for r in rows], s)
+    labelled, back = [int(r["y"] > 0) for r in rows], [py_fold(f"back{r['id']}", 4) == 0 for r in rows]
+    rows[:] = [r["text"] for r in rows]
+    model = train(rows, labelled, back, s)
+    tidy()  # the driver stays for all that follows
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
