@@ -1,4 +1,4 @@
-"""Connected components of a link table, in parallel: each task contracts its links, then alternating large-star and small-star rounds."""
+"""Connected components of a link table, in parallel (alternating large-star and small-star rounds)."""
 
 from __future__ import annotations
 
@@ -61,27 +61,30 @@ def _contracted(links: DataFrame, most: int | None) -> DataFrame:
     return mapped(links, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema))
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 60, contract: bool = False) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``a`` and ``b``, numbers or rows of numbers); the root is the
     least node.
 
-    Each task first contracts its links, block by block, to stars with the same components. A few links (some MB) are one
-    block, so they are done with that; rounds over them would cost the driver more, in plans and compiled code, than all
-    their work. Of many, the stars of blocks go on in rounds. Each round is two joins on a node's number and leaves at most
-    as many links as before, so no component is ever gathered; rounds grow with the logarithm of the links. Loops and
-    repeated links are harmless; no links, no rows.
+    Each round is two joins on a node's number and leaves at most as many links as before, so no component is ever
+    gathered; rounds grow with the logarithm of the links. A few links (some MB) are worked through in one partition,
+    without exchanges. Loops and repeated links are harmless; no links, no rows.
+
+    With ``contract``, for operators that run Python on executors anyhow, each task first contracts its links, block by
+    block, to stars with the same components. A few links are one block, so they are done with that; rounds over them
+    would cost the driver more, in plans and compiled code, than all their work. Of many, the stars go on in rounds.
     """
     # what the planner knows of a checkpoint may name columns of the plan that was cut, which a union doesn't bear; a
     # limit on partitions that is never met lets through only what is known of the columns that are there
     bare = lambda df: df.coalesce(1 << 20)
     held = bare(durable(links.select("a", "b").where("a != b").distinct()))
-    if is_few(held):
-        stars = durable(_contracted(held.coalesce(1), None)).coalesce(1)
-        return _rooted(stars).coalesce(1)
-    stars = bare(durable(_contracted(held, NODES)))
+    alone = is_few(held)
+    if contract and alone:
+        return _rooted(durable(_contracted(held.coalesce(1), None)).coalesce(1)).coalesce(1)
+    stars = bare(durable(_contracted(held, NODES))) if contract else held
     seen = None
     for _ in range(most_rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if alone else both
         large = (
             both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         )
@@ -94,7 +97,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-    return _rooted(stars)
+    return _rooted(stars).coalesce(1) if alone else _rooted(stars)
 
 
 def _rooted(stars: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, width: int, p
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    roots = gathered(connected_components(links))
+    roots = gathered(connected_components(links, contract=True))
     released(links.sparkSession)
     return roots
 
