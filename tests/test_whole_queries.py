@@ -1,7 +1,7 @@
 """Registered queries on small tables that hold what a restricted query would miss."""
 
 from brute import swap_distance
-from tidewell.plans import queries
+from tidewell.plans import library, queries
 
 
 def _write(spark, folder, name, rows, schema):
@@ -25,3 +25,10 @@ def test_typo_expansion_has_every_alphabet(spark, tmp_path):
         near = sorted((swap_distance(term, w), w) for w in words if swap_distance(term, w) <= (1 if len(term) <= 7 else 2))
         want += [(term, w, d, k) for k, (d, w) in enumerate(near[:3], 1)]
     assert sorted((r.term, r.close, r.d, r.place) for r in queries.typo_expansion(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_similar_to_new_reads_whole_vectors(spark, tmp_path):
+    # 1 and 2 agree in their first four entries and differ after them; 1 and 3 agree only after them
+    rows = [(1, [0.5] * 4 + [0.5] * 4, 1), (2, [0.5] * 4 + [-0.5] * 4, 0), (3, [0.5, -0.5, 0.5, -0.5] + [0.5] * 4, 0)]
+    _write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    assert {(r.a, r.b): r.similarity for r in library.similar_to_new(spark, str(tmp_path)).collect()} == {(1, 3): 1.0}
