@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,33 +129,59 @@ def digest_parts(lines: DataFrame) -> DataFrame:
     return cut.join(starts.select("session", "step", part.cast("int").alias("part")), ["session", "step"]).select("session", "step", "part", "text")
 
 
-def representatives(items: DataFrame) -> DataFrame:
-    """``item``: of items in order (``item, place, signatures``), those with a signature that none kept before has, or
-    without any. A kept item's signatures count up to its first new one.
+#: Items that a worker chooses from at once.
+CHOSEN = 1 << 17
 
-    Each choice depends on those before it, so signatures that items share are settled together; items meet only within
-    a group of shared signatures.
-    """
-    from tidewell.operators import similarity
-
-    listed = items.select("item", "place", F.explode("signatures").alias("sig"))
-    firsts = listed.groupBy("sig").agg(F.min("item").alias("a"))
-    edges = listed.join(firsts, "sig").where("a != item").select("a", F.col("item").alias("b"))
-    grouped = similarity.clusters(edges)
-    rows = items.where(F.size("signatures") > 0).join(grouped.withColumnRenamed("id", "item"), "item", "left").withColumn("cluster", F.coalesce("cluster", "item"))
-    kind = items.schema["item"].dataType.simpleString()
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        seen, kept = set(), []
-        for item, signatures in zip(*(frame.sort_values("place")[c] for c in ("item", "signatures"))):
-            new = next((s for s in signatures if s not in seen), None)
+
+def _choosing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items that stay if those of the partition (or of a part of it that is small enough) were all."""
+
+    def kept(rows: pa.Table) -> pa.Table:
+        place, item, signatures = (rows[c].to_pylist() for c in ("place", "item", "signatures"))
+        seen, at = set(), []
+        for k in sorted(range(len(item)), key=lambda k: (place[k] is None, place[k], item[k])):
+            new = next((s for s in signatures[k] if s not in seen), None)
             if new is not None:
                 seen.add(new)
-                kept.append(item)
-        return pd.DataFrame({"item": kept})
+                at.append(k)
+        return rows.take(pa.array(at, pa.int64()))
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.num_rows > CHOSEN:
+            held = kept(held)
+            if held.num_rows > CHOSEN // 2:  # begun anew, which keeps more items than needed
+                yield from held.to_batches()
+                held = None
+    if held is not None:
+        yield from kept(held).to_batches()
 
+
+def representatives(items: DataFrame) -> DataFrame:
+    """``item``: of items in order (``item, place, signatures``), those with a signature that none kept before has, or
+    without any. A kept item's signatures count up to its first new one. Items are distinct.
+
+    Each choice depends on those before it. But an item that finds no new signature among some of the items finds none
+    among all, so each partition drops such items first; as many as there are signatures are left of it at most. What
+    is left is settled in one task if it is little. Else items ask for their signatures in turn: of those that ask for
+    the same the first holds it, and the others ask for their next, until nobody moves. Each round is checkpointed.
+    """
+    rows = items.where(F.size("signatures") > 0).select("item", "place", "signatures")
     alone = items.where(F.size("signatures") == 0).select("item")
-    return alone.union(rows.select("cluster", "item", "place", "signatures").groupBy("cluster").applyInPandas(choose, f"item {kind}"))
+    left = durable(rows.mapInArrow(_choosing, rows.schema))
+    if left.count() <= CHOSEN:
+        return alone.union(left.coalesce(1).mapInArrow(_choosing, rows.schema).select("item"))
+    asked = F.get("signatures", F.col("k"))
+    pool = durable(left.withColumn("k", F.lit(0)).where(asked.isNotNull()))
+    while True:
+        before = F.struct(F.col("place").isNull(), "place", "item")
+        first = pool.groupBy(asked.alias("sig")).agg(F.min_by("item", before).alias("item")).select("item", F.lit(True).alias("first"))
+        moved = durable(pool.join(first, "item", "left").withColumn("k", F.when(F.col("first"), F.col("k")).otherwise(F.col("k") + 1)))
+        if moved.where("first IS NULL").isEmpty():
+            return alone.union(pool.select("item"))
+        pool = moved.where(asked.isNotNull()).drop("first")
 
 
 #: How a line begins that tells of a command, and the one after which its output stands set in. Fixed values.
