@@ -64,3 +64,10 @@ def test_no_records_and_no_queries(spark, tmp_path):
     empty = index.build(records.where("false"), str(tmp_path / "a"))
     assert index.top_k(empty, queries, 5).collect() == []
     assert index.top_k(index.build(records, str(tmp_path / "b")), queries.where("false"), 5).collect() == []
+
+
+def test_terms_are_counted_in_place(spark):
+    records = spark.createDataFrame([(1, "w1 w2", "w2 w3 w2"), (2, None, "w1")], "id long, title string, body string")
+    counts = index.term_counts(records)
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, 5, "w1", 3.0), (1, 5, "w2", 5.0), (1, 5, "w3", 1.0), (2, 1, "w1", 1.0)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()

@@ -13,8 +13,11 @@ remains is summed up over all terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,11 +57,26 @@ def _impact(r: Ranking) -> Column:
 
 
 def term_counts(records: DataFrame, id_col: str = "id") -> DataFrame:
-    """``id, term, tf, n``: the weighted and the plain number of times that each record has a term."""
-    fields = [F.struct(F.col(k).cast("string").alias("text"), F.lit(w).alias("w")) for k, w in FIELD_WEIGHTS.items() if k in records.columns]
-    rows = records.select(F.col(id_col).alias("id"), F.explode(F.array(*fields)).alias("f")).select("id", "f.text", "f.w")
-    terms = rows.select("id", "w", F.explode(text.tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("n"))
+    """``id, len, term, tf``: the weighted number of times that each record has a term, and the terms of the record. A
+    record is one row, so its terms are counted in place and nothing is shuffled."""
+    weights = {k: w for k, w in FIELD_WEIGHTS.items() if k in records.columns}
+    none = F.array().cast("array<string>")
+    listed = records.select(F.col(id_col).alias("id"), *[F.coalesce(text.tokens(F.col(k).cast("string")), none).alias(f"__{k}") for k in weights])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch[f"__{k}"] for k in weights]
+            sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+            rows = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+            w = np.concatenate([np.full(n.sum(), float(v)) for n, v in zip(sizes, weights.values())])
+            t = pa.table({"row": rows, "term": pa.concat_arrays([x.flatten() for x in lists]), "w": w})
+            met = t.group_by(["row", "term"], use_threads=False).aggregate([("w", "sum")]).combine_chunks()
+            row = met["row"].to_numpy()
+            length = sum(sizes).astype(np.int64)[row]
+            made = pa.table({"id": batch["id"].take(pa.array(row)), "len": length, "term": met["term"], "tf": met["w_sum"]})
+            yield from made.to_batches()
+
+    return listed.mapInArrow(run, f"id {listed.schema['id'].dataType.simpleString()}, len long, term string, tf double")
 
 
 def build(records: DataFrame, folder: str, id_col: str = "id", tie: str = "title", r: Ranking = Ranking()) -> Index:
@@ -67,20 +85,24 @@ def build(records: DataFrame, folder: str, id_col: str = "id", tie: str = "title
     Null fields are empty. ``stats`` is written last: an index without it isn't whole.
     """
     spark = records.sparkSession
-    counts = durable(term_counts(records, id_col))
-    lens = counts.groupBy("id").agg(F.sum("n").alias("len"))
+    # as a columnar file, which takes a fraction of a checkpoint of the same rows
+    term_counts(records, id_col).write.mode("overwrite").parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    lens = counts.select("id", "len").distinct()
     names = records.select(F.col(id_col).alias("id"), (F.col(tie) if tie in records.columns else F.lit("")).alias("tie"))
     docs = durable(names.join(lens, "id", "left").select("id", "tie", F.coalesce("len", F.lit(0)).alias("len")))
     whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len")).first()
     n_docs, avg_len = whole["n_docs"], whole["avg_len"] or 1.0
     any_terms = counts.count()
     buckets, salts = max(16, -(-any_terms // FOLDER_POSTINGS)), max(1, -(-n_docs // BLOCK_RECORDS))
-    found = counts.join(small(docs.select("id", "len")), "id").withColumn("avg_len", F.lit(avg_len)).withColumn("impact", _impact(r))
+    found = counts.withColumn("avg_len", F.lit(avg_len)).withColumn("impact", _impact(r))
     level = F.least(F.floor((1 - F.col("impact") / (r.k1 + 1)) * LEVELS), F.lit(LEVELS - 1)).cast("int")
     place = {"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "level": level, "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")}
-    keyed = found.withColumns(place).groupBy("bucket", "term", "level", "salt")
+    # postings move once: to where their block is put together and written
+    parts = found.withColumns(place).select("bucket", (F.col("salt") % 16).alias("part"), "term", "level", "salt", "id", "impact").repartition(buckets * min(16, salts), "bucket", "part")
+    keyed = parts.groupBy("bucket", "part", "term", "level", "salt")
     blocks = keyed.agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "impact")).alias("items"))
-    dealt = blocks.repartition(buckets * min(16, salts), "bucket", F.col("salt") % 16).sortWithinPartitions("bucket", "term", "level")
+    dealt = blocks.drop("part").sortWithinPartitions("bucket", "term", "level")
     # without rows there would be no folder and no schema, so the folders are left out
     written = lambda df, name: df.write.mode("overwrite").partitionBy(*["bucket"] if any_terms else []).parquet(f"{folder}/{name}")
     written(dealt, "blocks")
